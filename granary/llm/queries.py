@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import token_counts
+from granary.llm import token_counts, wavelet
 from granary.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,9 +18,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_output(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op10_token_counts,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_wavelet_tokens, op10_token_counts)}
 SQL: dict[str, str] = {}
