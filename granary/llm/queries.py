@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import htmltext, token_counts, url_rules, wavelet
+from granary.llm import htmltext, mixture, token_counts, url_rules, wavelet
 from granary.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +36,15 @@ def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_output(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_main_text, op3_wavelet_tokens, op5_url_rules, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_main_text, op3_wavelet_tokens, op5_url_rules, op8_mixture, op10_token_counts)}
 SQL: dict[str, str] = {
     "op5_url_rules": """
 WITH rules(r_host, r_path, r_verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
