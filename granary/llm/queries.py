@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import htmltext, mixture, token_counts, url_rules, wavelet
+from granary.llm import htmltext, langid, licences, mixture, token_counts, url_rules, wavelet
 from granary.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_output(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
@@ -40,11 +44,15 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.lookup(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_main_text, op3_wavelet_tokens, op5_url_rules, op8_mixture, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_main_text, op2_language, op3_wavelet_tokens, op5_url_rules, op8_mixture, op9_licences, op10_token_counts)}
 SQL: dict[str, str] = {
     "op5_url_rules": """
 WITH rules(r_host, r_path, r_verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
@@ -58,4 +66,5 @@ fit AS (
   FROM parts p LEFT JOIN rules r ON (p.host = r_host OR ends_with(p.host, '.' || r_host)) AND starts_with(p.path, r_path))
 SELECT page_id, host, path, r_host || r_path AS rule, coalesce(r_verdict, 'allow') AS verdict FROM fit WHERE k = 1
 """,
+    "op9_licences": licences.sql(),
 }
