@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import htmltext, langid, licences, mixture, neardup, token_counts, url_rules, wavelet
+from granary.llm import decontam, htmltext, langid, licences, mixture, neardup, token_counts, url_rules, wavelet
 from granary.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=85)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_main_text, op2_language, op3_wavelet_tokens, op5_url_rules, op6_near_duplicates, op8_mixture, op9_licences, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_main_text, op2_language, op3_wavelet_tokens, op5_url_rules, op6_near_duplicates, op7_decontamination, op8_mixture, op9_licences, op10_token_counts)}
 SQL: dict[str, str] = {
     "op5_url_rules": """
 WITH rules(r_host, r_path, r_verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
