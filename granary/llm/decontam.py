@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.llm.common import cut
+
 K, PERCENT, RADIUS, BITS = 5, 80, 24, 64
 #: More anchors than this are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -33,17 +35,26 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once: the optimizer may move a column's definition into a lambda that runs for every element, but not this variable's."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _shingles(hashes: Column, k: int) -> Column:
     """Hashes of the runs of ``k`` words, in order; none if there are fewer words."""
-    n = F.size(hashes)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
+    run = lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
+    return _let(hashes, run)
 
 
 def _counted(shingles: Column) -> Column:
     """A multiset as a set: the i-th occurrence of a shingle is an element of its own."""
-    nth = lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(shingles, F.lit(1), i + 1), lambda x: x == h)))
-    plain = F.size(F.array_distinct(shingles)) == F.size(shingles)
-    return F.when(plain, F.transform(shingles, lambda h: F.xxhash64(h, F.lit(1)))).otherwise(F.transform(shingles, nth))
+
+    def count(own: Column) -> Column:
+        nth = lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(own, F.lit(1), i + 1), lambda x: x == h)))
+        plain = F.size(F.array_distinct(own)) == F.size(own)
+        return F.when(plain, F.transform(own, lambda h: F.xxhash64(h, F.lit(1)))).otherwise(F.transform(own, nth))
+
+    return _let(shingles, count)
 
 
 def _simhash(elements: Column) -> Column:
@@ -53,6 +64,12 @@ def _simhash(elements: Column) -> Column:
     return F.aggregate(F.arrays_zip(votes.alias("v"), bits.alias("b")), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.when(x["v"] > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), x["b"])).otherwise(F.lit(0).cast("bigint"))))
 
 
+def _fingerprinted(df: DataFrame, shingles: str, elements: str, fp: str) -> DataFrame:
+    """``df`` with the elements and the fingerprint of a column of shingles, written down: each is used many times."""
+    counted = cut(df.withColumn(elements, _counted(F.col(shingles))), elements)
+    return cut(counted.withColumn(fp, _simhash(F.col(elements))), fp)
+
+
 def _block_agrees(x: Column) -> Column:
     """Whether the XOR of two fingerprints is zero in one of the blocks."""
     edges = [round(i * BITS / (RADIUS + 1)) for i in range(RADIUS + 2)]
@@ -67,8 +84,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     k = F.least(F.size("w"), F.lit(K))
     own = F.when(F.size("w") >= K, _shingles(F.col("w"), K)).otherwise(F.array(F.xxhash64("w")))
     out = hashed.select("item_id", k.alias("k"), F.size("w").alias("m"), own.alias("shingles"))
-    out = out.withColumn("elements", _counted(F.col("shingles")))
-    return out.withColumn("fp", _simhash(F.col("elements")))
+    return _fingerprinted(out, "shingles", "elements", "fp")
 
 
 def _anchors(items: DataFrame) -> DataFrame:
@@ -87,26 +103,36 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     anchors = _anchors(items)
     small = anchors.count() <= BROADCAST_ROWS
     widths = sorted(r["k"] for r in items.select("k").distinct().collect())  # K of them at most
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     opened = None
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
     for k in widths:
-        rows = hashed.select("doc_id", "text_hash", _shingles(F.col("w"), k).alias("all"))
-        spread = rows.select("doc_id", "text_hash", "all", F.posexplode("all").alias("pos", "sh"))
-        own = anchors.where(F.col("k") == k).drop("k")
-        hits = spread.join(F.broadcast(own) if small else own, "sh")
+        # only places pass through the lookup; texts would be copied with each
+        all_ = _shingles(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)), k)
+        sized = rows.select("doc_id", "text_hash", all_.alias("all")).select("doc_id", "text_hash", F.size("all").alias("n"), F.posexplode("all").alias("pos", "sh"))
+        own = anchors.where(F.col("k") == k)
+        hits = sized.join(F.broadcast(own) if small else own, "sh")
         # edits that leave the similarity move an anchor by less than a fifth of the item
         shift = F.floor(F.col("m") * (100 - PERCENT) / 100).cast("int") + 1
-        last = F.greatest(F.size("all") - F.col("s"), F.lit(0))
         at = F.col("pos") - F.col("off")
-        starts = F.sequence(F.greatest(at - shift, F.lit(0)), F.greatest(F.greatest(at - shift, F.lit(0)), F.least(at + shift, last)))
-        seen = hits.select("doc_id", "text_hash", "item_id", "s", "all", F.explode(starts).alias("start"))
-        window = seen.select("doc_id", "text_hash", "item_id", "start", F.slice("all", F.col("start") + 1, F.col("s")).alias("window"))
-        opened = window if opened is None else opened.unionByName(window)
+        low = F.greatest(at - shift, F.lit(0))
+        starts = F.sequence(low, F.greatest(low, F.least(at + shift, F.greatest(F.col("n") - F.col("s"), F.lit(0)))))
+        seen = hits.select("doc_id", "text_hash", "k", "item_id", "s", F.explode(starts).alias("start"))
+        opened = seen if opened is None else opened.unionByName(seen)
     if opened is None:
         kind = benchmark.schema["item_id"].dataType
-        return hashed.select("doc_id", "text_hash", F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("double").alias("similarity")).where(F.lit(False))
-    windows = opened.groupBy("doc_id", "text_hash", "item_id", "start").agg(F.first("window").alias("window"))
-    marked = windows.withColumn("mine", _counted(F.col("window"))).withColumn("own_fp", _simhash(F.col("mine")))
+        return rows.select("doc_id", "text_hash", F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("double").alias("similarity")).where(F.lit(False))
+    places = opened.distinct().groupBy("doc_id", "text_hash", "k").agg(F.collect_list(F.struct("item_id", "s", "start")).alias("places"))
+    places = cut(places, "places").withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
+    # the texts of documents with places are hashed once more, and windows sliced from them
+    held = rows.join(places, rows["doc_id"].eqNullSafe(F.col("id")) & (rows["text_hash"] == F.col("hash")))
+    rehashed = cut(held.select("doc_id", "text_hash", "places", "k", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")), "rehashed")
+    each = F.when(F.lit(False), F.lit(None).cast("array<bigint>"))
+    for k in widths:
+        each = each.when(F.col("k") == k, _shingles(F.col("w"), k))
+    cut_out = F.transform("places", lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), F.slice("all", x["start"] + 1, x["s"]).alias("window")))
+    sliced = rehashed.withColumn("all", each).select("doc_id", "text_hash", F.explode(cut_out).alias("x")).select("doc_id", "text_hash", "x.*")
+    windows = sliced.groupBy("doc_id", "text_hash", "item_id", "start").agg(F.first("window").alias("window"))
+    marked = _fingerprinted(windows, "window", "mine", "own_fp")
     known = items.select("item_id", "elements", "fp")
     met = marked.join(F.broadcast(known) if small else known, "item_id")
     apart = F.col("own_fp").bitwiseXOR(F.col("fp"))
