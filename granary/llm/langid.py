@@ -123,19 +123,20 @@ class Identifier:
 
 
 
-def predict(docs: DataFrame, model: dict[str, Any], keep: tuple[str, ...]) -> DataFrame:
-    """``keep``, lang_pred and score of every row of ``docs`` (text); no shuffle. The model is broadcast: its size is bounded."""
+def predict(docs: DataFrame, model: dict[str, Any]) -> DataFrame:
+    """``docs`` (text) with lang_pred and score; no shuffle, and only texts go to Python. The model is broadcast: its size is bounded."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Identifier(sent.value)
         for b in batches:
-            out = [own.predict(t if isinstance(t, str) else None) for t in b["__text"]]
-            yield b.drop(columns="__text").assign(lang_pred=[x for x, _ in out], score=[y for _, y in out])
+            yield pd.DataFrame([own.predict(t if isinstance(t, str) else None) for t in b], columns=["lang_pred", "score"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInPandas(run, fields + ", lang_pred string, score double")
+    # as it may not be evaluated twice, for a filter and for the result
+    seen = docs.withColumn("__seen", run.asNondeterministic()("text"))
+    return seen.select(*docs.columns, "__seen.lang_pred", "__seen.score")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -143,4 +144,4 @@ def identify(docs: DataFrame) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     held = F.coalesce(fold == 2, F.lit(False))
     model = fit(docs.select("doc_id", "text", "lang"), F.coalesce(fold != 2, F.lit(False)), F.col("doc_id"))
-    return predict(docs.select("doc_id", held.alias("held_out"), "text"), model, ("doc_id", "held_out"))
+    return predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontam, htmltext, langid, licences, mixture, neardup, token_counts, url_rules, wavelet
+from granary.llm import ann, decontam, htmltext, langid, licences, mixture, neardup, token_counts, url_rules, wavelet
 from granary.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 #: host, path, verdict of the rules that op5 applies.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -60,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_main_text, op2_language, op3_wavelet_tokens, op5_url_rules, op6_near_duplicates, op7_decontamination, op8_mixture, op9_licences, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_main_text, op2_language, op3_wavelet_tokens, op4_permutation_index, op5_url_rules, op6_near_duplicates, op7_decontamination, op8_mixture, op9_licences, op10_token_counts)}
 SQL: dict[str, str] = {
     "op5_url_rules": """
 WITH rules(r_host, r_path, r_verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
