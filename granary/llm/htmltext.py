@@ -143,26 +143,17 @@ def lines(page: str) -> list[tuple[str, bool]]:
 def spans(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
     """Half-open runs of lines from a surge to its dive.
 
-    The block at line i sums the lengths of lines i to i + window - 1. A run begins at the first line with text of a block
-    over ``surge`` and ends where a gap (a line without text) follows; a run is as wide as the gaps around it allow.
+    A block at line i sums the lengths of lines i to i + window - 1, as far as no gap (a line without text) comes between.
+    A run of lines between gaps counts if some block of it surges to ``surge`` characters; it dives at the next gap.
     """
-    n = len(lengths)
-    if not n:
-        return []
-    total = np.concatenate(([0], np.cumsum(lengths)))
-    over = total[np.minimum(np.arange(n) + window, n)] - total[:n] >= surge
-    found, i = [], 0
-    while i < n:
-        if not (lengths[i] and over[i]):
-            i += 1
-            continue
-        a, z = i, i
-        while a > 0 and lengths[a - 1]:
-            a -= 1
-        while z < n and lengths[z]:
-            z += 1
-        found.append((a, z))
-        i = z
+    text = np.concatenate(([False], np.asarray(lengths) > 0, [False]))
+    edges = np.flatnonzero(text[1:] != text[:-1])
+    found = []
+    for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        total = np.concatenate(([0], np.cumsum(lengths[a:z])))
+        at = np.arange(z - a)
+        if (total[np.minimum(at + window, z - a)] - total[at]).max() >= surge:
+            found.append((a, z))
     return found
 
 

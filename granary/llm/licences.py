@@ -27,7 +27,7 @@ SAME = [
     ("labeling", "labelling"), ("labor", "labour"), ("license", "licence"), ("licensed", "licenced"), ("licenses", "licences"), ("licensee", "licencee"),
     ("maximize", "maximise"), ("modeled", "modelled"), ("modeling", "modelling"), ("noncommercial", "non commercial"), ("offense", "offence"),
     ("optimize", "optimise"), ("organization", "organisation"), ("organize", "organise"), ("per cent", "percent"), ("practice", "practise"), ("program", "programme"),
-    ("realize", "realise"), ("recognize", "recognise"), ("signaling", "signalling"), ("sub license", "sublicence"), ("sublicense", "sublicence"),
+    ("realize", "realise"), ("recognize", "recognise"), ("signaling", "signalling"), ("sub licence", "sublicence"), ("sublicense", "sublicence"),
     ("utilization", "utilisation"), ("while", "whilst"), ("wilfull", "wilful"), ("copyright c", "copyright"),
 ]
 
