@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import cut
+from granary.llm.common import cut, small_batches
 
 PIVOTS, PREFIX, SHARE = 256, 64, 0.4
 BLOCK, QUERIES = 4096, 2048
@@ -55,6 +55,7 @@ def clean(vectors: DataFrame) -> DataFrame:
 
 def index(vectors: DataFrame, pivots: int = PIVOTS, prefix: int = PREFIX) -> DataFrame:
     """vec_id, vector, nearest (pivot numbers, nearest first) and block of every vector that takes part; written down."""
+    small_batches(vectors.sparkSession, 4096)
     rows = cut(clean(vectors), "vectors")
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("vector").toPandas()
     points = _matrix(chosen["vector"]) if len(chosen) else np.zeros((0, 0))
