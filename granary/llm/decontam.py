@@ -97,41 +97,53 @@ def _anchors(items: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= F.floor(F.col("s") * (100 - PERCENT) / 100)).select("k", "sh", "item_id", "m", "s", "off")
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _hashed(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, text_hash and all shingles of every row, in order."""
+    every = _shingles(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)), k)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), every.alias("all"))
+
+
+def _starts() -> Column:
+    """Where windows begin that an anchor opens: edits that leave the similarity move it by less than a fifth of the item."""
+    shift = F.floor(F.col("m") * (100 - PERCENT) / 100).cast("int") + 1
+    at = F.col("pos") - F.col("off")
+    low = F.greatest(at - shift, F.lit(0))
+    return F.sequence(low, F.greatest(low, F.least(at + shift, F.greatest(F.col("n") - F.col("s"), F.lit(0)))))
+
+
+def _near(docs: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
+    """The windows, by a broadcast of the anchors: they are sliced where the text lies, and nothing else is moved."""
+    spread = _hashed(docs, k).select("doc_id", "text_hash", "all", F.size("all").alias("n"), F.posexplode("all").alias("pos", "sh"))
+    hits = spread.join(F.broadcast(anchors.where(F.col("k") == k)), "sh")
+    seen = hits.select("doc_id", "text_hash", "item_id", "s", "all", F.explode(_starts()).alias("start"))
+    return seen.select("doc_id", "text_hash", "item_id", "start", F.slice("all", F.col("start") + 1, F.col("s")).alias("window"))
+
+
+def _far(docs: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
+    """The windows, by a shuffle of shingles: only places pass through it, and texts with places are hashed once more."""
+    spread = _hashed(docs, k).select("doc_id", "text_hash", F.size("all").alias("n"), F.posexplode("all").alias("pos", "sh"))
+    hits = spread.join(anchors.where(F.col("k") == k), "sh")
+    seen = hits.select("doc_id", "text_hash", "item_id", "s", F.explode(_starts()).alias("start")).distinct()
+    places = seen.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "s", "start")).alias("places"))
+    places = cut(places, "places").withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    held = own.join(places, own["doc_id"].eqNullSafe(F.col("id")) & (own["text_hash"] == F.col("hash"))).select("doc_id", "text", "places")
+    again = cut(held, "held").select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode("places").alias("x"), _shingles(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)), k).alias("all"))
+    return again.select("doc_id", "text_hash", "x.item_id", "x.start", F.slice("all", F.col("x.start") + 1, F.col("x.s")).alias("window"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text_hash, item_id and similarity of every contaminated document and the items in it."""
     items = _items(benchmark.select("item_id", "text"))
-    anchors = _anchors(items)
-    small = anchors.count() <= BROADCAST_ROWS
+    anchors = cut(_anchors(items), "anchors")
+    small = anchors.count() <= broadcast_rows
     widths = sorted(r["k"] for r in items.select("k").distinct().collect())  # K of them at most
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    opened = None
-    for k in widths:
-        # only places pass through the lookup; texts would be copied with each
-        all_ = _shingles(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)), k)
-        sized = rows.select("doc_id", "text_hash", all_.alias("all")).select("doc_id", "text_hash", F.size("all").alias("n"), F.posexplode("all").alias("pos", "sh"))
-        own = anchors.where(F.col("k") == k)
-        hits = sized.join(F.broadcast(own) if small else own, "sh")
-        # edits that leave the similarity move an anchor by less than a fifth of the item
-        shift = F.floor(F.col("m") * (100 - PERCENT) / 100).cast("int") + 1
-        at = F.col("pos") - F.col("off")
-        low = F.greatest(at - shift, F.lit(0))
-        starts = F.sequence(low, F.greatest(low, F.least(at + shift, F.greatest(F.col("n") - F.col("s"), F.lit(0)))))
-        seen = hits.select("doc_id", "text_hash", "k", "item_id", "s", F.explode(starts).alias("start"))
-        opened = seen if opened is None else opened.unionByName(seen)
-    if opened is None:
+    docs = docs.select("doc_id", "text")
+    if not widths:
         kind = benchmark.schema["item_id"].dataType
-        return rows.select("doc_id", "text_hash", F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("double").alias("similarity")).where(F.lit(False))
-    places = opened.distinct().groupBy("doc_id", "text_hash", "k").agg(F.collect_list(F.struct("item_id", "s", "start")).alias("places"))
-    places = cut(places, "places").withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
-    # the texts of documents with places are hashed once more, and windows sliced from them
-    held = rows.join(places, rows["doc_id"].eqNullSafe(F.col("id")) & (rows["text_hash"] == F.col("hash")))
-    rehashed = cut(held.select("doc_id", "text_hash", "places", "k", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")), "rehashed")
-    each = F.when(F.lit(False), F.lit(None).cast("array<bigint>"))
-    for k in widths:
-        each = each.when(F.col("k") == k, _shingles(F.col("w"), k))
-    cut_out = F.transform("places", lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), F.slice("all", x["start"] + 1, x["s"]).alias("window")))
-    sliced = rehashed.withColumn("all", each).select("doc_id", "text_hash", F.explode(cut_out).alias("x")).select("doc_id", "text_hash", "x.*")
-    windows = sliced.groupBy("doc_id", "text_hash", "item_id", "start").agg(F.first("window").alias("window"))
+        return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("double").alias("similarity")).where(F.lit(False))
+    opened = reduce(DataFrame.unionByName, [(_near if small else _far)(docs, anchors, k) for k in widths])
+    windows = opened.groupBy("doc_id", "text_hash", "item_id", "start").agg(F.first("window").alias("window"))
     marked = _fingerprinted(windows, "window", "mine", "own_fp")
     known = items.select("item_id", "elements", "fp")
     met = marked.join(F.broadcast(known) if small else known, "item_id")
