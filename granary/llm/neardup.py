@@ -7,7 +7,7 @@
    member of its bucket, another in each round, and what is linked by then needs no second link. What has not come together
    after ``ROUNDS`` meets the members of other components of its bucket, and only those whose sketches leave a similarity of
    the threshold possible.
-3. Candidates within sketch range are confirmed on the full sets, by integers: 100 * common >= threshold * union.
+3. The parities of whole sets bound their difference from below, without error. Candidates within both ranges are confirmed on the full sets, by integers: 100 * common >= threshold * union.
 4. Components by smallest label with pointer jumping; every step is written to the shared folder.
 
 With bands of ``rows`` samples a link at the threshold is missed with a probability below 1e-5; ``rows`` follows from the
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import cut, small_batches
 
-BANDS, SKETCH, ROUNDS = 40, 512, 3
-LONGS = SKETCH // 64
+BANDS, SKETCH, PARITY, ROUNDS = 40, 512, 1024, 3
 _GAPS = np.zeros(256, bool)
 _GAPS[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
@@ -87,6 +86,10 @@ def rows_for(threshold: int, bands: int = BANDS) -> int:
     return max(1, int(math.log(per_band) / math.log(threshold / 100)))
 
 
+def _words64(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 class Sketcher:
     def __init__(self, rows: int):
         self.rows, self.samples = rows, rows * BANDS
@@ -107,8 +110,8 @@ class Sketcher:
                 np.minimum(out[s : s + 64], h.min(axis=1), out=out[s : s + 64])
         return out
 
-    def of(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Band keys, and the odd sketch as 64-bit words."""
+    def of(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Band keys, the odd sketch of the samples and that of the whole set, as 64-bit words."""
         least = self.minima(shingles).astype(_U)
         at = np.arange(self.samples, dtype=_U)
         keys = np.zeros(BANDS, _U) + np.arange(BANDS, dtype=_U)
@@ -116,7 +119,8 @@ class Sketcher:
             keys = _mix(keys * _U(0x9E3779B97F4A7C15) + row)
         flips = _mix(least + (at << _U(32))) % _U(SKETCH)
         bits = np.bincount(flips.astype(np.int64), minlength=SKETCH) & 1
-        return keys.view(np.int64), np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+        whole = np.bincount((shingles % _U(PARITY)).astype(np.int64), minlength=PARITY) & 1
+        return keys.view(np.int64), _words64(bits), _words64(whole)
 
 
 def sketch_range(threshold: int, samples: int) -> int:
@@ -126,7 +130,7 @@ def sketch_range(threshold: int, samples: int) -> int:
     return math.ceil(SKETCH / 2 * (1 - math.exp(-2 * (2 * (1 - low) * samples) / SKETCH)) + 5)
 
 
-SIGNED = "text_hash bigint, cls bigint, n bigint, bands array<bigint>, sketch array<bigint>"
+SIGNED = "text_hash bigint, cls bigint, n bigint, bands array<bigint>, sketch array<bigint>, parity array<bigint>"
 
 
 def signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
@@ -140,13 +144,13 @@ def signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
             for t in b["text"]:
                 s = shingle_set(t if isinstance(t, str) else None, k)
                 if len(s):
-                    keys, sketch = own.of(s)
+                    keys, sketch, parity = own.of(s)
                     cls = (_mix(s).sum(dtype=_U) + _U(len(s))).view(np.int64)
-                    out.append((int(cls), len(s), keys, sketch))
+                    out.append((int(cls), len(s), keys, sketch, parity))
                 else:
-                    out.append((None, 0, None, None))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield b.drop(columns="text").assign(cls=pd.array(cols[0], "Int64"), n=cols[1], bands=cols[2], sketch=cols[3])
+                    out.append((None, 0, None, None, None))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield b.drop(columns="text").assign(cls=pd.array(cols[0], "Int64"), n=cols[1], bands=cols[2], sketch=cols[3], parity=cols[4])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, f"doc_id {kind}, {SIGNED}")
@@ -162,9 +166,9 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("cls", "text").mapInPandas(run, "cls bigint, shingles binary")
 
 
-def _differing(a: str, b: str) -> Column:
+def _differing(a: str, b: str, bits: int) -> Column:
     """Bits in which two odd sketches differ."""
-    parts = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LONGS)]
+    parts = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
@@ -207,20 +211,22 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "label") -> DataF
 def link_classes(docs: DataFrame, signed: DataFrame, k: int, threshold: int, rows: int) -> DataFrame:
     """cls and label (the component's smallest cls) of the classes that have any candidate."""
     reach = sketch_range(threshold, rows * BANDS)
-    classes = signed.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    posted = classes.select("cls", F.explode("bands").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = cut(posted.join(shared, "key"), "members")
+    posted = signed.where("n > 0").select("cls", F.explode("bands").alias("key"))
+    shared = posted.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("key")
+    members = cut(posted.join(shared, "key").distinct(), "members")
     alive = members.select("cls").distinct()
-    small = cut(classes.select("cls", "n", "sketch").join(alive, "cls"), "sketches")
+    met = signed.select("cls", "n", "sketch", "parity").join(alive, "cls")
+    small = cut(met.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "parity")]), "sketches")
     # the text of one document of each class stands for its set
     first = signed.join(alive, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = own.join(first, (own["text_hash"] == F.col("first.text_hash")) & own["doc_id"].eqNullSafe(F.col("first.doc_id")))
     sets = cut(sets_of(texts, k), "sets")
-    left = small.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("oa"))
-    right = small.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("ob"))
-    fits = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (_differing("oa", "ob") <= reach)
+    left = small.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("oa"), F.col("parity").alias("pa"))
+    right = small.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("ob"), F.col("parity").alias("pb"))
+    fits = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (_differing("oa", "ob", SKETCH) <= reach)
+    # sets at the threshold differ in so many shingles at most, and parity bits can't differ in more places: exact
+    fits = fits & ((100 + threshold) * _differing("pa", "pb", PARITY) <= (100 - threshold) * (F.col("na") + F.col("nb")))
     label = small.select("cls", F.col("cls").alias("label"))
     links = None
     for turn in range(ROUNDS):
@@ -228,8 +234,11 @@ def link_classes(docs: DataFrame, signed: DataFrame, k: int, threshold: int, row
         chance = F.xxhash64("cls", F.lit(turn))
         host = held.groupBy("key").agg(F.min_by(F.struct("cls", "label"), chance).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
         met = held.join(host, "key").where(F.col("label") != F.col("h.label"))
-        pairs = met.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
-        near = pairs.join(left, "a").join(right, "b").where(fits).select("a", "b")
+        pairs = met.select("cls", F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
+        near = pairs.join(left, "a").join(right, "b").where(fits)
+        if turn == 0:  # to begin with each member takes the closest host of its buckets: one link each brings most groups together
+            near = near.groupBy("cls").agg(F.min_by(F.struct("a", "b"), F.struct(_differing("pa", "pb", PARITY), F.col("a"), F.col("b"))).alias("p")).select("p.*")
+        near = near.select("a", "b").distinct()
         found = cut(confirm(near, sets, threshold), "found")
         links = found if links is None else links.union(found)
         # what a link has joined so far: the smallest label at either end, taken one step on
@@ -241,8 +250,8 @@ def link_classes(docs: DataFrame, signed: DataFrame, k: int, threshold: int, row
     split = held.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", "c").alias("most"), F.count("*").alias("parts")).where("parts > 1")
     open_ = held.join(split, "key").join(small, "cls")
     # pairs across components: one side is outside the largest component of the bucket; each pair is met once
-    a = open_.where(F.col("label") != F.col("most")).select("key", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sketch").alias("oa"))
-    b = open_.select("key", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sketch").alias("ob"), (F.col("label") == F.col("most")).alias("top"))
+    a = open_.where(F.col("label") != F.col("most")).select("key", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sketch").alias("oa"), F.col("parity").alias("pa"))
+    b = open_.select("key", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sketch").alias("ob"), F.col("parity").alias("pb"), (F.col("label") == F.col("most")).alias("top"))
     once = F.col("top") | (F.col("a") < F.col("b"))
     crossed = a.join(b, (a["key"] == b["key"]) & (F.col("la") != F.col("lb")) & once & fits)
     late = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
