@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import small_batches
 
-TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 3000, 60_000, 60_000
+TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 3000, 20_000, 30_000
 LONGEST = 5
 NONE = "und"
 CACHE = 200_000
