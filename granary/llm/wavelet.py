@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ MAGIC = b"WVM1"
 BLOCK = 512
 #: A shard closes with the document that brings it to so many ids.
 SHARD_IDS = 1 << 20
-CACHE = 300_000
+CACHE = 800_000
 
 
 class WaveletMatrix:
@@ -163,6 +164,19 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, np.ndarray]:
     return WaveletMatrix(planes, list(zeros), n), np.frombuffer(frames[0], "<u8").astype(np.int64)
 
 
+_STOPS = ".,"
+#: White space for Python, not for the tokenizers library.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids by the tokenizers library; parts between white space are encoded once and remembered."""
 
@@ -178,7 +192,11 @@ class Encoder:
         self.apart = '"Removed"' in steps and "[^\\\\s" in steps and not any(x["lstrip"] or x["rstrip"] for x in spec["added_tokens"])
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
+        self.lowers = '"Lowercase"' in steps
+        self.stops = {c: self.raw(self.library.encode(c, add_special_tokens=False).ids) for c in _STOPS}
+        #: Parts and their ids, in two generations: the older goes when the younger is half of ``CACHE``.
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def raw(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -199,20 +217,34 @@ class Encoder:
                 out |= dict.fromkeys(some, b"")
         return out
 
+    def parts(self, text: str) -> list[str]:
+        """The text in parts that may be encoded apart. Latin-1 letters are lowered, as the file does so in any case; a
+        special string must not arise from that."""
+        if text.isascii() or _latin(text):
+            if not any(c in text for c in _NO_SPACE):
+                return (text if not self.lowers or "<|" in text else text.lower()).split()
+        return self._GAP.split(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.apart:
             return [self.raw(x.ids) for x in self.library.encode_batch(texts, add_special_tokens=False)]
-        parts = [self._GAP.split(t) for t in texts]
-        new = {p for ps in parts for p in ps if p not in self.known}
-        plain = [p for p in new if p.isascii() and p]
-        now = self.learn(plain) | {p: self.raw(self.library.encode(p, add_special_tokens=False).ids) if p else b"" for p in new if not p.isascii() or not p}
-        if len(self.known) + len(now) > CACHE:
-            now |= {p: self.known[p] for ps in parts for p in ps if p in self.known}
-            self.known = {}
+        parts = [self.parts(t) for t in texts]
+        new: set[str] = set()
+        for ps in parts:
+            new.update(filterfalse(self.known.__contains__, ps))
+        # parts met in the last generation of the memory move over; a word with a stop or comma is known by the word
+        now = {p: self.old[p] for p in new if p in self.old} if self.old else {}
+        bare = {p: p[:-1] for p in new if p not in now and p[-1:] in _STOPS and p[:-1].isalpha()}
+        need = {p for p in new if p not in now and p not in bare} | {w for w in bare.values() if w not in self.known and w not in self.old}
+        joint = [p for p in need if p and (p.isascii() or _latin(p))]
+        now |= self.learn(joint)
+        now |= {p: self.raw(self.library.encode(p, add_special_tokens=False).ids) if p else b"" for p in need.difference(joint)}
+        for p, w in bare.items():
+            now[p] = (now.get(w) or self.known.get(w) or self.old[w]) + self.stops[p[-1]]
         self.known |= now
         out = [b"".join(map(self.known.__getitem__, ps)) for ps in parts]
-        if len(self.known) > CACHE:
-            self.known = {}
+        if len(self.known) > CACHE // 2:
+            self.old, self.known = self.known, {}
         return out
 
 
