@@ -34,11 +34,17 @@ def drop_scratch(spark: SparkSession) -> None:
     _WRITTEN.clear()
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here, lost executors lose nothing."""
+def put(df: DataFrame, name: str) -> str:
+    """The path of ``df``, written as a table in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     df.write.parquet(path)
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends here, lost executors lose nothing."""
+    path = put(df, name)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ which the model knows any, else of the next shorter length. The language with th
 with more training documents, then to the smaller name.
 
 Training: at most ``TRAIN_DOCS`` documents of each language in expectation, taken by a hash of their number, so the cost of
-fitting and the model (``MAX_WORDS``, ``MAX_GRAMS`` entries, the most frequent) have a bound whatever the size of the corpus;
+fitting does not grow with the corpus; the model is a table in the shared folder with every word and n-gram of that sample;
 prediction covers every document and its whole text, and uses nothing but that text.
 
 Defined results: a null text or one without letters is ``und`` with score 0, as are all if nothing could be learned; rows
@@ -19,16 +19,20 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import small_batches
+from granary.llm.common import put, small_batches
 
-TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 3000, 20_000, 30_000
+TRAIN_DOCS = 3000
 LONGEST = 5
 NONE = "und"
 CACHE = 200_000
@@ -55,30 +59,34 @@ def fit(docs: DataFrame, learn: Column, key: Column) -> dict[str, Any]:
     lengths = F.sequence(F.lit(1), F.lit(LONGEST))
     places = lambda k: F.sequence(F.lit(1), F.greatest(F.length(marked) - k + 1, F.lit(1)))
     grams = F.flatten(F.transform(lengths, lambda k: F.transform(places(k), lambda i: F.substr(marked, i, k))))
-    by_gram = met.where(F.length("word") <= 64).select("lang", F.explode(grams).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-    def most(table: DataFrame, name: str, limit: int) -> dict[str, list[float]]:
-        """Log frequencies by language of the most frequent entries."""
-        by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)]
-        wide = table.groupBy(name).agg(*by_lang, F.sum("n").alias("n")).orderBy(F.desc("n"), name).limit(limit)
-        entries = [(r[0], r[1:-1]) for r in wide.collect()]
-        totals = [sum(c[i] for _, c in entries) + 0.5 * len(entries) for i in range(len(langs))]
-        return {w: [math.log((c[i] + 0.5) / totals[i]) for i in range(len(langs))] for w, c in entries}
-
-    model = {"langs": langs, "words": most(met, "word", MAX_WORDS)}
-    # a length of n-grams is a distribution of its own
-    model["grams"] = {k: most(by_gram.where(F.length("gram") == k), "gram", MAX_GRAMS // LONGEST) for k in range(1, LONGEST + 1)}
+    by_gram = met.where(F.length("word") <= 64).select("lang", F.explode(grams).alias("entry"), "n")
+    # a length of n-grams is a distribution of its own, as are words (length 0)
+    every = by_gram.select(F.length("entry").alias("k"), "entry", "lang", "n").unionByName(met.select(F.lit(0).alias("k"), F.col("word").alias("entry"), "lang", "n"))
+    by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)]
+    path = put(every.groupBy("k", "entry").agg(*by_lang), "model")
     met.unpersist()
-    return model
+    return {"langs": langs, "path": path}
+
+
+def read(model: dict[str, Any], k: int) -> tuple[list[str], np.ndarray]:
+    """The entries of one length, sorted, and their log frequencies by language."""
+    system, path = fs.FileSystem.from_uri(model["path"] if "://" in model["path"] else f"file://{model['path'].removeprefix('file:')}")
+    found = pq.read_table(path, filesystem=system, filters=[("k", "=", k)])
+    found = found.take(pc.sort_indices(found["entry"]))
+    counts = np.stack([found[f"l{i}"].to_numpy().astype(np.float64) for i in range(len(model["langs"]))], axis=1) + 0.5
+    return found["entry"].to_pylist(), np.log(counts / counts.sum(axis=0))
 
 
 class Identifier:
     """Scores texts; words met are remembered up to ``CACHE``."""
 
     def __init__(self, model: dict[str, Any]):
-        self.langs, self.grams = model["langs"], model.get("grams", {})
-        self.base = list(model.get("words", {}))
-        self.known = np.array([model["words"][w] for w in self.base], np.float64).reshape(len(self.base), len(self.langs)) if self.langs else np.zeros((0, 0))
+        self.langs, self.base, self.known, self.grams = model["langs"], [], np.zeros((0, 0)), {}
+        if self.langs:
+            self.base, self.known = read(model, 0)
+            for k in range(1, LONGEST + 1):
+                entries, logs = read(model, k)
+                self.grams[k] = (np.array(entries, f"U{k}"), logs)  # a dict of them would take ten times the memory
         self.reset()
 
     def reset(self) -> None:
@@ -91,10 +99,14 @@ class Identifier:
         """The mean of the log frequencies of the longest n-grams known, taken as one word."""
         marked = f"^{word}$"
         for k in range(LONGEST, 0, -1):
-            table = self.grams[k]
-            found = [table[g] for g in (marked[i : i + k] for i in range(max(1, len(marked) - k + 1))) if g in table and g not in "^$"]
-            if found:
-                return np.mean(found, axis=0)
+            entries, logs = self.grams[k]
+            met = [g for g in (marked[i : i + k] for i in range(max(1, len(marked) - k + 1))) if len(g) == k and g not in "^$"]
+            if met and len(entries):
+                met = np.array(met, entries.dtype)
+                at = np.minimum(np.searchsorted(entries, met), len(entries) - 1)
+                at = at[entries[at] == met]
+                if len(at):
+                    return logs[at].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -121,16 +133,20 @@ class Identifier:
         return self.langs[best], float(1.0 / odds.sum())
 
 
+@lru_cache(maxsize=1)
+def _loaded(langs: tuple[str, ...], path: str | None) -> Identifier:
+    """The model of a worker, read once."""
+    return Identifier({"langs": list(langs), "path": path})
 
 
 def predict(docs: DataFrame, model: dict[str, Any]) -> DataFrame:
-    """``docs`` (text) with lang_pred and score; no shuffle, and only texts go to Python. The model is broadcast: its size is bounded."""
+    """``docs`` (text) with lang_pred and score; no shuffle, and only texts go to Python. Workers read the model from the shared folder."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    langs, path = tuple(model["langs"]), model.get("path")
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Identifier(sent.value)
+        own = _loaded(langs, path)
         for b in batches:
             yield pd.DataFrame([own.predict(t if isinstance(t, str) else None) for t in b], columns=["lang_pred", "score"])
 

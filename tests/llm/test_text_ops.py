@@ -67,6 +67,15 @@ def test_language_of_hard_texts(spark):
     assert langid.identify(df.limit(0)).collect() == []
 
 
+def test_language_keeps_words_of_rare_languages(spark):
+    word = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(4))
+    rows = [(i, " ".join(word(40 * i + j) for j in range(40)) * 2, "big") for i in range(700)] + [(1000 + i, "seldom spoken", "rare") for i in range(1)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True), F.col("doc_id"))
+    own = langid.Identifier(model)
+    assert len(own.base) > 27_000 and {"seldom", "spoken"} < set(own.base)
+    assert own.predict("spoken")[0] == "rare" and own.predict("qspokenq")[0] == "rare" and own.predict(rows[0][1])[0] == "big"
+
+
 @pytest.fixture(scope="module")
 def texts():
     return HARD + [r[0] for r in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet' LIMIT 40").fetchall()]
