@@ -6,7 +6,8 @@ the weight of a shingle is the number of its occurrences.
 
 1. A window so similar lacks at most 20 % of an item's shingles, so of each item's rarest shingles just over 20 % serve as
    anchors: every such window holds one. Anchors are looked up in all documents at once (by broadcast up to
-   ``BROADCAST_ROWS``, by shuffle beyond), and open the windows that edits of the item can have moved them to.
+   ``BROADCAST_ROWS``, by shuffle beyond), and open every window that holds them. Windows with
+   too few of the item's shingles, counted exactly, for the similarity to be reached are dropped at once.
 2. Windows and items get SimHash fingerprints of 64 bits. Within ``RADIUS`` of an item's fingerprint at least one of
    ``RADIUS + 1`` blocks of bits is the same in both, so block agreement, then the population count, drop the rest.
    At the threshold 64 bits differ in 9.7 places, give or take 2.9; the radius is five deviations wide.
@@ -88,13 +89,13 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _anchors(items: DataFrame) -> DataFrame:
-    """k, sh, item_id, m, off: of each item the rarest shingles that together outweigh what a similar window may lack."""
+    """k, sh, item_id, s: of each item the rarest shingles that together outweigh what a similar window may lack."""
     placed = items.select("item_id", "k", "m", F.size("shingles").alias("s"), F.posexplode("shingles").alias("off", "sh"))
     common = placed.groupBy("k", "sh").agg(F.count_distinct("item_id").alias("df"))
     rare = Window.partitionBy("item_id", "k", "m").orderBy("df", "sh", "off")
     ranked = placed.join(common, ["k", "sh"]).withColumn("rank", F.row_number().over(rare) - 1)
     # ranks 0 to floor(s / 5) hold s / 5 occurrences and one more
-    return ranked.where(F.col("rank") <= F.floor(F.col("s") * (100 - PERCENT) / 100)).select("k", "sh", "item_id", "m", "s", "off")
+    return ranked.where(F.col("rank") <= F.floor(F.col("s") * (100 - PERCENT) / 100)).select("k", "sh", "item_id", "s").distinct()
 
 
 def _hashed(docs: DataFrame, k: int) -> DataFrame:
@@ -103,33 +104,58 @@ def _hashed(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), every.alias("all"))
 
 
+def _region() -> list[Column]:
+    """What windows that hold the shingle at ``pos`` can reach: base (where it begins) and region."""
+    base = F.greatest(F.col("pos") - F.col("s") + 1, F.lit(0))
+    return [base.alias("base"), F.slice("all", base + 1, F.col("s") * 2 - 1).alias("region")]
+
+
 def _starts() -> Column:
-    """Where windows begin that an anchor opens: edits that leave the similarity move it by less than a fifth of the item."""
-    shift = F.floor(F.col("m") * (100 - PERCENT) / 100).cast("int") + 1
-    at = F.col("pos") - F.col("off")
-    low = F.greatest(at - shift, F.lit(0))
-    return F.sequence(low, F.greatest(low, F.least(at + shift, F.greatest(F.col("n") - F.col("s"), F.lit(0)))))
+    """Where in a region windows begin that hold the anchor, no anchor before it, and enough of the item's shingles.
+
+    An occurrence of one of the item's shingles counts however often the item has it, so the count is never too small; an
+    earlier anchor of the item opens the windows that hold it itself.
+    """
+    own = F.col("pos") - F.col("base")
+    places = F.sequence(F.lit(0), F.size("region") - 1)
+    before = F.array_max(F.filter(places, lambda i: (i < own) & F.array_contains("anchors", F.get("region", i))))
+    low = F.greatest(F.coalesce(before + 1, F.lit(0)), F.lit(0))
+    high = F.least(F.col("pos"), F.greatest(F.col("n") - F.col("s"), F.lit(0))) - F.col("base")
+    least = F.ceil((F.col("s") + F.least("s", "n")) * PERCENT / (100 + PERCENT))
+
+    def enough(met: Column) -> Column:
+        within = lambda at: F.size(F.filter(met, lambda p: (p >= at) & (p < at + F.col("s")))) >= least
+        every = F.sequence(low, F.greatest(low, high))
+        return F.when((low <= high) & (F.size(met) >= least), F.filter(every, lambda at: within(at)))
+
+    return _let(F.filter(places, lambda i: F.array_contains("shingles", F.get("region", i))), enough)
+
+
+def _opened(hits: DataFrame, items: DataFrame, small: bool) -> DataFrame:
+    """The windows of hits (item_id, s, n, pos, base, region), each once."""
+    own = items.select("item_id", "shingles", "anchors")
+    seen = hits.join(F.broadcast(own) if small else own, "item_id").withColumn("at", F.explode(_starts()))
+    return seen.select("doc_id", "text_hash", "item_id", (F.col("base") + F.col("at")).alias("start"), F.slice("region", F.col("at") + 1, F.col("s")).alias("window"))
 
 
 def _near(docs: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """The windows, by a broadcast of the anchors: they are sliced where the text lies, and nothing else is moved."""
+    """Hits with their regions, by a broadcast of the anchors: they are sliced where the text lies, and nothing else is moved."""
     spread = _hashed(docs, k).select("doc_id", "text_hash", "all", F.size("all").alias("n"), F.posexplode("all").alias("pos", "sh"))
     hits = spread.join(F.broadcast(anchors.where(F.col("k") == k)), "sh")
-    seen = hits.select("doc_id", "text_hash", "item_id", "s", "all", F.explode(_starts()).alias("start"))
-    return seen.select("doc_id", "text_hash", "item_id", "start", F.slice("all", F.col("start") + 1, F.col("s")).alias("window"))
+    return hits.select("doc_id", "text_hash", "item_id", "s", "n", "pos", *_region())
 
 
 def _far(docs: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """The windows, by a shuffle of shingles: only places pass through it, and texts with places are hashed once more."""
-    spread = _hashed(docs, k).select("doc_id", "text_hash", F.size("all").alias("n"), F.posexplode("all").alias("pos", "sh"))
+    """Hits with their regions, by a shuffle of shingles: only places pass through it, and texts with places are hashed once more."""
+    spread = _hashed(docs, k).select("doc_id", "text_hash", F.posexplode("all").alias("pos", "sh"))
     hits = spread.join(anchors.where(F.col("k") == k), "sh")
-    seen = hits.select("doc_id", "text_hash", "item_id", "s", F.explode(_starts()).alias("start")).distinct()
-    places = seen.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "s", "start")).alias("places"))
+    seen = hits.select("doc_id", "text_hash", "item_id", "s", "pos").distinct()
+    places = seen.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "s", "pos")).alias("places"))
     places = cut(places, "places").withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     held = own.join(places, own["doc_id"].eqNullSafe(F.col("id")) & (own["text_hash"] == F.col("hash"))).select("doc_id", "text", "places")
     again = cut(held, "held").select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode("places").alias("x"), _shingles(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)), k).alias("all"))
-    return again.select("doc_id", "text_hash", "x.item_id", "x.start", F.slice("all", F.col("x.start") + 1, F.col("x.s")).alias("window"))
+    return again.select("doc_id", "text_hash", "x.item_id", "x.s", "x.pos", "all", F.size("all").alias("n")).select("doc_id", "text_hash", "item_id", "s", "n", "pos", *_region())
 
 
 def find(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -142,7 +168,9 @@ def find(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     if not widths:
         kind = benchmark.schema["item_id"].dataType
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("double").alias("similarity")).where(F.lit(False))
-    opened = reduce(DataFrame.unionByName, [(_near if small else _far)(docs, anchors, k) for k in widths])
+    hits = reduce(DataFrame.unionByName, [(_near if small else _far)(docs, anchors, k) for k in widths])
+    held = anchors.groupBy("item_id").agg(F.collect_set("sh").alias("anchors"))
+    opened = _opened(hits, items.join(held, "item_id"), small)
     windows = opened.groupBy("doc_id", "text_hash", "item_id", "start").agg(F.first("window").alias("window"))
     marked = _fingerprinted(windows, "window", "mine", "own_fp")
     known = items.select("item_id", "elements", "fp")

@@ -169,6 +169,22 @@ def test_decontamination(spark, rows_by_broadcast):
         assert decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0 and decontam.report(docs.limit(0), bench).collect() == []
 
 
+@pytest.mark.parametrize("rows_by_broadcast", [10**6, 0])
+def test_decontamination_of_moved_parts(spark, rows_by_broadcast):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    items = {1: some(100), 2: some(60), 3: some(90)}
+    moved = {1: items[1][50:] + items[1][:50], 2: items[2][18:] + items[2][:18], 3: items[3][60:] + items[3][30:60] + items[3][:30]}
+    texts = {10 * j + i: " ".join(some(a) + moved[j] + some(b)) for j in items for i, (a, b) in enumerate([(150, 150), (0, 130), (130, 0), (7, 3)])}
+    items = {j: " ".join(w) for j, w in items.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = defaultdict(set)
+    for x in decontam.find(docs, spark.createDataFrame(list(items.items()), "item_id bigint, text string"), rows_by_broadcast).collect():
+        found[x["doc_id"]].add(x["item_id"])
+    assert {i: found[i] for i in texts} == contaminated(texts, items) == {i: {i // 10} for i in texts}
+
+
 def plain_targets(sizes, weights=(5, 2, 1), cap=3):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
