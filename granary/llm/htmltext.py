@@ -2,8 +2,9 @@
 
 Markup is stripped into lines (blocks of the page, in page order) with the boilerplate elements gone; a gap is left where
 one was.  Text lengths are summed over a sliding window of lines; a surge is where the sum rises over a threshold, the
-dive where it falls to nothing.  Kept is the text between surge and dive; of several such runs those of at least a
-quarter of the longest.  A page that marks its article (article, main, role=main, itemprop=articleBody) is weighed within
+dive where it falls to nothing.  Kept is the text between surge and dive, of every such run.  Boilerplate within the
+article leaves gaps too, so the container of the longest run (the innermost that holds all of it) is taken for the article's
+and what stands in it is kept as well, however short.  A page that marks its article (article, main, role=main, itemprop=articleBody) is weighed within
 those marks, where every block belongs to the text, however short.
 
 Defined results: null or empty html gives an empty text; unclosed elements end with their parent or the page; truncated
@@ -13,6 +14,7 @@ tags are no text; character references are decoded as HTML does, an unknown one
 from __future__ import annotations
 
 import html as entities
+import os
 import re
 from collections.abc import Iterator
 
@@ -30,6 +32,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that hold other blocks of a text.
+CONTAINERS = frozenset("article body center div html main section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -64,24 +68,24 @@ def _unwanted(name: str, attrs: str, article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """The blocks of a page in order, each with whether it stands in a marked article; "" where boilerplate was."""
-    out: list[tuple[str, bool]] = []
+def lines(page: str) -> list[tuple[str, bool, tuple[int, ...]]]:
+    """The blocks of a page in order, each with whether it stands in a marked article and its containers; "" where boilerplate was."""
+    out: list[tuple[str, bool, tuple[int, ...]]] = []
     block: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, silent from here on, an article from here on
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # open elements: name, silent from here on, an article from here on, containers (by where they begin)
     silent = article = False
     at, size = 0, len(page)
 
     def end() -> None:
         text = " ".join(entities.unescape("".join(block)).split())
         if text:
-            out.append((text, article))
+            out.append((text, article, stack[-1][3] if stack else ()))
         block.clear()
 
     def gap() -> None:
         end()
         if out and out[-1][0]:
-            out.append(("", article))
+            out.append(("", article, ()))
 
     while at < size:
         m = _TAG.search(page, at)
@@ -134,7 +138,8 @@ def lines(page: str) -> list[tuple[str, bool]]:
         hush = silent or name in SILENT or _unwanted(name, attrs, article)
         if hush and not silent and name in BLOCKS | SILENT:
             gap()
-        stack.append((name, hush, (article or marked) and not hush))
+        held = stack[-1][3] if stack else ()
+        stack.append((name, hush, (article or marked) and not hush, (*held, at) if name in CONTAINERS else held))
         silent, article = hush, stack[-1][2]
     end()
     return out
@@ -162,16 +167,19 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     own = lines(page)
-    marked = np.array([article and t != "" for t, article in own], bool)
-    lengths = np.array([len(t) for t, _ in own], np.int64)
+    marked = np.array([article and t != "" for t, article, _ in own], bool)
+    lengths = np.array([len(t) for t, _, _ in own], np.int64)
     if marked.any():
         # every block of a marked article surges by itself, and all else is a gap
         runs = spans(np.where(marked, lengths + SURGE, 0))
-        return "\n".join(t for a, z in runs for t, _ in own[a:z])
+        return "\n".join(t for a, z in runs for t, _, _ in own[a:z])
     runs = spans(lengths) or spans(lengths, surge=1)
-    weight = [int(lengths[a:z].sum()) for a, z in runs]
-    kept = [run for run, w in zip(runs, weight, strict=True) if 4 * w >= max(weight)]
-    return "\n".join(t for a, z in kept for t, _ in own[a:z])
+    if not runs:
+        return ""
+    a, z = max(runs, key=lambda run: int(lengths[run[0] : run[1]].sum()))
+    home = os.path.commonprefix([held for _, _, held in own[a:z]])
+    surged = {i for a, z in runs for i in range(a, z)}
+    return "\n".join(t for i, (t, _, held) in enumerate(own) if t and (i in surged or held[: len(home)] == home))
 
 
 def extract(pages: DataFrame) -> DataFrame:

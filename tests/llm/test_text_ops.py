@@ -44,6 +44,16 @@ def test_main_text_of_sample_pages(spark):
         assert r["text"] == "\n".join(filter(None, blocks))
 
 
+def test_main_text_split_by_boilerplate():
+    long, closing, last = "word " * 1000, "close " * 160, "The end."
+    for ad in ("<div class=ad>buy</div>", "<aside>x</aside>", "<form>f</form>", "<div class=share>s</div>"):
+        page = f"<body><div class=top><a>Home</a></div>{ad}<div class=content><p>{long}</p>{ad}<p>{closing}</p>{ad}<p>{last}</p></div>{ad}<div><p>Imprint</p></div></body>"
+        assert htmltext.main_text(page) == "\n".join((long.strip(), closing.strip(), last))
+        apart = f"<body><div><p>{long}</p></div>{ad}<div><p>{closing}</p></div>{ad}<div><p>Imprint</p></div></body>"
+        assert htmltext.main_text(apart) == "\n".join((long.strip(), closing.strip()))
+    assert htmltext.main_text("<nav>m</nav>") == ""
+
+
 def test_surge_and_dive():
     lengths = np.array([5, 0, 90, 3, 100, 0, 4, 0, 30, 30, 30])
     assert htmltext.spans(lengths) == [(2, 5), (8, 11)] and htmltext.spans(np.array([], int)) == []
