@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.model import TABLE, DataError, GranaryError, Schema
@@ -18,6 +18,10 @@ from granary.operators import dml
 from granary.operators.query import Find, MultiFind, find, multifind
 
 
+#: Positions that a commit has for its changes: a position is the version times this and the number of the change.
+COMMIT = 1 << 32
+
+
 class BucketMissing(GranaryError):
     pass
 
@@ -107,7 +111,9 @@ class Catalog:
         version = (have[-1] + 1) if have else 0
         rows.repartitionByRange(TABLE, pk).sortWithinPartitions(TABLE, pk).write.mode("overwrite").parquet(f"{path}/rows/{version}")
         if change is not None:
-            change.withColumn("position", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(f"{path}/log/{version}")
+            # every change has a position of its own, so that a page of the log may end within a commit
+            nth = F.row_number().over(Window.orderBy(TABLE, pk)) - 1
+            change.withColumn("position", F.lit(version * COMMIT).cast("bigint") + nth).write.mode("overwrite").parquet(f"{path}/log/{version}")
         self.spark.createDataFrame([(version, int(time.time()))], "version bigint, written bigint").coalesce(1).write.mode("overwrite").json(f"{path}/current/{version}")
         return version
 
@@ -191,9 +197,10 @@ class Catalog:
         self.pinned.pop(bucket, None)
 
     def log(self, bucket: str, after: int = -1, limit: int = 512) -> DataFrame:
-        """Changes after a position, at most ``limit`` of them."""
+        """Changes after a position, at most ``limit`` of them; the largest position of a page is where the next begins."""
         path = f"{self._path(bucket)}/log"
-        versions = [v for v in self._versions(path) if v > after]
-        if not versions:
+        versions = [v for v in self._versions(path) if v >= after // COMMIT]
+        found = self.spark.read.parquet(*[f"{path}/{v}" for v in versions]).where(F.col("position") > after) if versions else None
+        if found is None or found.isEmpty():
             raise GranaryError("no changes after that position")
-        return self.spark.read.parquet(*[f"{path}/{v}" for v in versions]).orderBy("position").limit(limit)
+        return found.orderBy("position").limit(limit)

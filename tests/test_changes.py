@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.expr import T
-from granary.model import TABLE, DataError, Field, Schema, SchemaError
+from granary.model import TABLE, DataError, Field, GranaryError, Schema, SchemaError
 from granary.operators import dml
 from granary.sources import rawcodec
 from granary.sources.catalog import BucketMissing, Catalog
@@ -107,6 +107,25 @@ def test_catalog(spark, tmp_path):
         c.rows("kv")
 
 
+def test_log_pages(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/data")
+    c.alter_bucket("kv", *KV.fields)
+    c.insert("kv", 5, [{"k": i, "a": i % 7} for i in range(1, 1301)])
+    c.remove("kv", 5, T.k <= 600)
+    at, met = -1, []
+    while True:
+        try:
+            page = c.log("kv", at).collect()
+        except GranaryError:
+            break
+        assert 0 < len(page) <= 512
+        met, at = met + page, page[-1]["position"]
+    assert sorted((r["op"], r["k"]) for r in met) == sorted([("upsert", i) for i in range(1, 1301)] + [("remove", i) for i in range(1, 601)])
+    assert len({r["position"] for r in met}) == len(met)
+    done = changelog.replay(spark.createDataFrame([], KV.struct()), spark.createDataFrame(met, c.log("kv").schema), KV)
+    assert state(done) == state(c.rows("kv"))
+
+
 LOG = f"position bigint, op string, {TABLE} bigint, k bigint, a bigint, b bigint, query string"
 CHANGES = [(1, "upsert", 0, 1, 5, 0, None), (2, "upsert", 0, 2, 6, 0, None), (3, "upsert", 0, 1, 9, 0, None), (4, "remove", 0, None, None, None, '{"k": 2}'), (5, "upsert", 0, 3, 1, 0, None)]
 
