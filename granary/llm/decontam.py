@@ -15,7 +15,9 @@ the weight of a shingle is the number of its occurrences.
 
 Defined results: null and empty texts are clean; an item of fewer than ``K`` words is one shingle of all its words, and an
 item without words matches nothing; a document shorter than an item is one window; repeated rows are each reported; rows
-are told apart by number and text, so rows that share a number are judged one by one.
+are told apart by number and text, so rows that share a number are judged one by one. Items are told apart by their words:
+those of equal words are judged once and reported under each of their numbers; of different ones that share a number, or
+have none, each is judged, and the number (null too) is reported once, with the largest similarity.
 """
 
 from __future__ import annotations
@@ -79,23 +81,29 @@ def _block_agrees(x: Column) -> Column:
     return reduce(lambda p, q: p | q, [x.bitwiseAND(F.lit(m).cast("bigint")) == 0 for m in signed])
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, k (its shingle width), m (words), shingles, elements and fp of items that have words."""
+def _named(benchmark: DataFrame) -> DataFrame:
+    """item_id, w (hashed words) and item (a hash of these) of items that have words."""
     hashed = benchmark.select("item_id", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") > 0)
+    return hashed.withColumn("item", F.xxhash64("w"))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item (a hash of its words), k (its shingle width), m (words), shingles, elements and fp of items that have words, once each."""
+    hashed = _named(benchmark).dropDuplicates(["item"])
     k = F.least(F.size("w"), F.lit(K))
     own = F.when(F.size("w") >= K, _shingles(F.col("w"), K)).otherwise(F.array(F.xxhash64("w")))
-    out = hashed.select("item_id", k.alias("k"), F.size("w").alias("m"), own.alias("shingles"))
+    out = hashed.select("item", k.alias("k"), F.size("w").alias("m"), own.alias("shingles"))
     return _fingerprinted(out, "shingles", "elements", "fp")
 
 
 def _anchors(items: DataFrame) -> DataFrame:
-    """k, sh, item_id, s: of each item the rarest shingles that together outweigh what a similar window may lack."""
-    placed = items.select("item_id", "k", "m", F.size("shingles").alias("s"), F.posexplode("shingles").alias("off", "sh"))
-    common = placed.groupBy("k", "sh").agg(F.count_distinct("item_id").alias("df"))
-    rare = Window.partitionBy("item_id", "k", "m").orderBy("df", "sh", "off")
+    """k, sh, item, s: of each item the rarest shingles that together outweigh what a similar window may lack."""
+    placed = items.select("item", "k", "m", F.size("shingles").alias("s"), F.posexplode("shingles").alias("off", "sh"))
+    common = placed.groupBy("k", "sh").agg(F.count_distinct("item").alias("df"))
+    rare = Window.partitionBy("item", "k", "m").orderBy("df", "sh", "off")
     ranked = placed.join(common, ["k", "sh"]).withColumn("rank", F.row_number().over(rare) - 1)
     # ranks 0 to floor(s / 5) hold s / 5 occurrences and one more
-    return ranked.where(F.col("rank") <= F.floor(F.col("s") * (100 - PERCENT) / 100)).select("k", "sh", "item_id", "s").distinct()
+    return ranked.where(F.col("rank") <= F.floor(F.col("s") * (100 - PERCENT) / 100)).select("k", "sh", "item", "s").distinct()
 
 
 def _hashed(docs: DataFrame, k: int) -> DataFrame:
@@ -132,35 +140,35 @@ def _starts() -> Column:
 
 
 def _opened(hits: DataFrame, items: DataFrame, small: bool) -> DataFrame:
-    """The windows of hits (item_id, s, n, pos, base, region), each once."""
-    own = items.select("item_id", "shingles", "anchors")
-    seen = hits.join(F.broadcast(own) if small else own, "item_id").withColumn("at", F.explode(_starts()))
-    return seen.select("doc_id", "text_hash", "item_id", (F.col("base") + F.col("at")).alias("start"), F.slice("region", F.col("at") + 1, F.col("s")).alias("window"))
+    """The windows of hits (item, s, n, pos, base, region), each once."""
+    own = items.select("item", "shingles", "anchors")
+    seen = hits.join(F.broadcast(own) if small else own, "item").withColumn("at", F.explode(_starts()))
+    return seen.select("doc_id", "text_hash", "item", (F.col("base") + F.col("at")).alias("start"), F.slice("region", F.col("at") + 1, F.col("s")).alias("window"))
 
 
 def _near(docs: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """Hits with their regions, by a broadcast of the anchors: they are sliced where the text lies, and nothing else is moved."""
     spread = _hashed(docs, k).select("doc_id", "text_hash", "all", F.size("all").alias("n"), F.posexplode("all").alias("pos", "sh"))
     hits = spread.join(F.broadcast(anchors.where(F.col("k") == k)), "sh")
-    return hits.select("doc_id", "text_hash", "item_id", "s", "n", "pos", *_region())
+    return hits.select("doc_id", "text_hash", "item", "s", "n", "pos", *_region())
 
 
 def _far(docs: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """Hits with their regions, by a shuffle of shingles: only places pass through it, and texts with places are hashed once more."""
     spread = _hashed(docs, k).select("doc_id", "text_hash", F.posexplode("all").alias("pos", "sh"))
     hits = spread.join(anchors.where(F.col("k") == k), "sh")
-    seen = hits.select("doc_id", "text_hash", "item_id", "s", "pos").distinct()
-    places = seen.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "s", "pos")).alias("places"))
+    seen = hits.select("doc_id", "text_hash", "item", "s", "pos").distinct()
+    places = seen.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "s", "pos")).alias("places"))
     places = cut(places, "places").withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     held = own.join(places, own["doc_id"].eqNullSafe(F.col("id")) & (own["text_hash"] == F.col("hash"))).select("doc_id", "text", "places")
     again = cut(held, "held").select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode("places").alias("x"), _shingles(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)), k).alias("all"))
-    return again.select("doc_id", "text_hash", "x.item_id", "x.s", "x.pos", "all", F.size("all").alias("n")).select("doc_id", "text_hash", "item_id", "s", "n", "pos", *_region())
+    return again.select("doc_id", "text_hash", "x.item", "x.s", "x.pos", "all", F.size("all").alias("n")).select("doc_id", "text_hash", "item", "s", "n", "pos", *_region())
 
 
 def find(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text_hash, item_id and similarity of every contaminated document and the items in it."""
-    items = _items(benchmark.select("item_id", "text"))
+    items = _items(benchmark)
     anchors = cut(_anchors(items), "anchors")
     small = anchors.count() <= broadcast_rows
     widths = sorted(r["k"] for r in items.select("k").distinct().collect())  # K of them at most
@@ -169,18 +177,20 @@ def find(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
         kind = benchmark.schema["item_id"].dataType
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("double").alias("similarity")).where(F.lit(False))
     hits = reduce(DataFrame.unionByName, [(_near if small else _far)(docs, anchors, k) for k in widths])
-    held = anchors.groupBy("item_id").agg(F.collect_set("sh").alias("anchors"))
-    opened = _opened(hits, items.join(held, "item_id"), small)
-    windows = opened.groupBy("doc_id", "text_hash", "item_id", "start").agg(F.first("window").alias("window"))
+    held = anchors.groupBy("item").agg(F.collect_set("sh").alias("anchors"))
+    opened = _opened(hits, items.join(held, "item"), small)
+    windows = opened.groupBy("doc_id", "text_hash", "item", "start").agg(F.first("window").alias("window"))
     marked = _fingerprinted(windows, "window", "mine", "own_fp")
-    known = items.select("item_id", "elements", "fp")
-    met = marked.join(F.broadcast(known) if small else known, "item_id")
+    known = items.select("item", "elements", "fp")
+    met = marked.join(F.broadcast(known) if small else known, "item")
     apart = F.col("own_fp").bitwiseXOR(F.col("fp"))
     near = met.where(_block_agrees(apart) & (F.bit_count(apart) <= RADIUS))
     common = F.size(F.array_intersect("mine", "elements"))
     union = F.size("mine") + F.size("elements") - common
-    sure = near.select("doc_id", "text_hash", "item_id", common.alias("common"), union.alias("union")).where(F.col("common") * 100 >= F.col("union") * PERCENT)
-    return sure.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.col("common") / F.col("union")).alias("similarity"))
+    sure = near.select("doc_id", "text_hash", "item", common.alias("common"), union.alias("union")).where(F.col("common") * 100 >= F.col("union") * PERCENT)
+    names = _named(benchmark).select("item", "item_id").distinct()
+    told = sure.join(F.broadcast(names) if small else names, "item")
+    return told.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.col("common") / F.col("union")).alias("similarity"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

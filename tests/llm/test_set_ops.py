@@ -185,6 +185,22 @@ def test_decontamination_of_moved_parts(spark, rows_by_broadcast):
     assert {i: found[i] for i in texts} == contaminated(texts, items) == {i: {i // 10} for i in texts}
 
 
+@pytest.mark.parametrize("rows_by_broadcast", [10**6, 0])
+def test_decontamination_of_items_that_share_numbers(spark, rows_by_broadcast):
+    r = random.Random(12)
+    some = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    a, b, c, d, e = some(40), some(40), some(25), some(40), some(30)
+    edited = [*d[:2], "other", *d[3:]]
+    items = [(1, a), (1, b), (1, c), (None, e), (4, d), (4, d), (4, d), (5, d)]
+    docs = [(i, " ".join(some(30) + w + some(30))) for i, w in enumerate((a, b, c, edited, e, some(9)))]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = decontam.find(docs, bench, rows_by_broadcast).collect()
+    assert sorted(((x["doc_id"], x["item_id"]) for x in got), key=str) == [(0, 1), (1, 1), (2, 1), (3, 4), (3, 5), (4, None)]
+    if rows_by_broadcast:
+        assert {x["doc_id"] for x in decontam.clean(docs, bench).collect()} == {5}
+
+
 def plain_targets(sizes, weights=(5, 2, 1), cap=3):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
