@@ -6,7 +6,7 @@ mixture returns a document as often as it takes it; the last stage writes the to
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import decontam, langid, mixture, neardup, wavelet
@@ -23,11 +23,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return seen.where(F.col("lang_pred") != langid.NONE).select(*own)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __key, a hash of the number and all else of a row: rows that share it are equal in every column."""
+    return docs.withColumn("__key", F.xxhash64(F.struct(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in docs.columns])))
+
+
+def _nth() -> Column:
+    """The number of a row among those equal to it, from 1."""
+    return F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest number."""
-    judged = cut(neardup.near_duplicates(docs, k=5, threshold=80), "judged")
-    gone = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One document of each group of near-duplicates stays: the one with the smallest number (none comes last; then by a hash of the row)."""
+    own, docs = docs.columns, _keyed(docs)
+    judged = neardup.near_duplicates(docs.select(F.col("__key").alias("doc_id"), "text"), k=5, threshold=80)
+    judged = cut(judged.select(F.col("doc_id").alias("__key"), "n_shingles", "component_id").distinct(), "judged")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
+    ranked = docs.select("doc_id", "__key").join(judged.where("n_shingles > 0"), "__key")
+    least = ranked.groupBy("component_id").agg(F.min(rank)["__key"].alias("__key")).select("__key", F.lit(False).alias("__blank"))
+    kept = least.unionByName(judged.where("n_shingles = 0").select("__key", F.lit(True).alias("__blank")))
+    return docs.join(kept, "__key").withColumn("__nth", _nth()).where((F.col("__nth") == 1) | F.col("__blank")).select(*own)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +51,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it."""
-    own = docs.columns
-    taken = mixture.mix(docs).where(F.col("taken") > 0)
-    copies = taken.groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s")).select(F.col("doc_id").alias("__id"), F.ceil(F.col("t") / F.col("s")).cast("int").alias("__copies"))
-    joined = docs.join(copies, docs["doc_id"] == F.col("__id"))
+    """Every document as often as the mixture takes it; what it takes of equal rows is dealt evenly among them."""
+    own, docs = docs.columns, _keyed(docs)
+    taken = mixture.mix(docs.select(F.col("__key").alias("doc_id"), "text", "source")).where(F.col("size") > 0)
+    copies = taken.groupBy(F.col("doc_id").alias("__key")).agg((F.sum("taken") / F.max("size")).cast("bigint").alias("__t"), F.count("*").alias("__n")).where("__t > 0")
+    mine = F.floor((F.col("__t") + F.col("__n") - F.col("__nth")) / F.col("__n")).cast("int")
+    joined = docs.join(copies, "__key").withColumn("__nth", _nth()).withColumn("__copies", mine).where("__copies > 0")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*own)
 
 

@@ -275,3 +275,22 @@ def test_pipeline_with_hard_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 4, 6}
+
+
+def test_pipeline_judges_rows_one_by_one(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    some = lambda x, n=12: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(1, some("a"), "en", "s", 1), (None, some("a"), "en", "s", 1), (2, some("b"), "en", "s", 1), (2, some("a"), "en", "s", 1), (3, some("c"), "en", "s", 1), (3, some("c"), "en", "s", 1), (None, some("d"), "en", "s", 1), (None, some("d"), "de", "s", 1), (None, "", "en", "s", 0), (None, "", "en", "s", 0)]
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, schema), DATA)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, some("a")), (2, some("b")), (3, some("c")), (None, some("d")), (None, ""), (None, "")], key=str)
+    rows = [(None, some("n"), "en", "s", 1), (1, some("a"), "en", "s", 1), (2, some("b"), "en", "s", 1), (2, some("c", 5), "en", "s", 1), (3, some("d"), "en", "s", 1), (3, some("d"), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, schema)  # one source: the target is its size, so each row is taken once
+    mixed = corpus_pipeline.mixture_stage(spark, docs, DATA)
+    assert mixed.columns == docs.columns and sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_pipeline_with_hard_rows_keeps_each(spark, tmp_path):
+    rows = [(1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "12 34", "en", "s", 5), (4, "some words here", "en", "s", 15), (4, "some words here", "en", "s", 15), (None, "no number at all", "en", "s", None), (6, "drei Worte hier", "de", "s", 15)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted((r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str) == [4, 6, None]
