@@ -9,6 +9,8 @@ the smallest; repeated rows are kept; other columns of the input stay away.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,34 @@ KNOWN = {
 }
 
 
+#: Title lines under which the short texts are found, besides none.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"], "Zlib": ["zlib License", "The zlib License"],
+}
+#: Whole texts, a file each.
+TEXTS = Path(__file__).with_name("licence_texts")
+UNTITLED = frozenset(["Unlicense"])
+LAST_TERM = "END OF TERMS AND CONDITIONS"
+THIRD_CLAUSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+
+
+def variants() -> list[tuple[str, str]]:
+    """Every known text with its licence: the fixed ones and the whole texts, with titles and without, with the appendix and without."""
+    short = KNOWN | {"BSD-3-Clause": KNOWN["BSD-2-Clause"].replace("THIS SOFTWARE IS", THIRD_CLAUSE + "THIS SOFTWARE IS", 1)}
+    out = list(short.items())
+    for name, titles in TITLES.items():
+        body = short[name].removeprefix(f"{titles[0]}\n\n")
+        out += [(name, body), *((name, f"{t}\n\n{body}") for t in titles)]
+    for file in sorted(TEXTS.glob("*.txt")):
+        whole, name = file.read_text("utf-8").strip(), file.name.removesuffix(".txt")
+        for text in {whole, whole.split(LAST_TERM)[0] + LAST_TERM if LAST_TERM in whole else whole}:
+            out.append((name, text))
+            if name not in UNTITLED:
+                out.append((name, text.split("\n\n", 1)[1]))
+    return sorted(set(out))
+
+
 def canonical(text: Column) -> Column:
     """The canonical form: words with single spaces between them."""
     kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
@@ -55,7 +85,7 @@ def canonical(text: Column) -> Column:
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN.items()), "license_id string, license_text string")
+    return spark.createDataFrame(variants(), "license_id string, license_text string")
 
 
 def lookup(docs: DataFrame, known: DataFrame) -> DataFrame:

@@ -153,6 +153,17 @@ def test_licences(spark):
     assert licences.lookup(df.limit(0), licences.known_licences(spark)).collect() == []
 
 
+def test_licences_of_whole_texts_and_titles(spark):
+    mit, bsd = licences.KNOWN["MIT"], licences.KNOWN["BSD-2-Clause"]
+    gpl, apache = ((licences.TEXTS / f"{n}.txt").read_text() for n in ("GPL-3.0", "Apache-2.0"))
+    want = [
+        (mit.removeprefix("MIT License"), "MIT"), ("The MIT License (MIT)" + mit.removeprefix("MIT License"), "MIT"), ("BSD 2-Clause License\n\n" + bsd, "BSD-2-Clause"), ("zlib License\n" + licences.KNOWN["Zlib"], "Zlib"),
+        (gpl, "GPL-3.0"), (gpl.split("How to Apply These")[0], "GPL-3.0"), (apache, "Apache-2.0"), (apache.split("APPENDIX:")[0].upper(), "Apache-2.0"), (gpl[: len(gpl) // 2], None), ((licences.TEXTS / "Unlicense.txt").read_text(), "Unlicense"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["license_id"] for r in licences.lookup(df, licences.known_licences(spark)).collect()} == {i: w for i, (_, w) in enumerate(want)}
+
+
 def test_random_wavelets_agree_with_lists():
     r = random.Random(1)
     ids = np.array([r.choice([3, 9, 70, 4000]) for _ in range(1500)])
