@@ -208,6 +208,12 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "label") -> DataF
         now = new.select("cls", name)
 
 
+def _split(held: DataFrame) -> DataFrame:
+    """key, most (the label of most rows, of several the largest, so that every evaluation agrees) and parts of buckets of several labels."""
+    sized = held.groupBy("key", "label").agg(F.count("*").alias("c"))
+    return sized.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+
+
 def link_classes(docs: DataFrame, signed: DataFrame, k: int, threshold: int, rows: int) -> DataFrame:
     """cls and label (the component's smallest cls) of the classes that have any candidate."""
     reach = sketch_range(threshold, rows * BANDS)
@@ -247,7 +253,7 @@ def link_classes(docs: DataFrame, signed: DataFrame, k: int, threshold: int, row
         label = cut(label.join(down, "label", "left").select("cls", F.coalesce("to", "label").alias("label")), "label")
     label = components(small.select("cls"), links)
     held = members.join(label, "cls")
-    split = held.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", "c").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    split = _split(held)
     open_ = held.join(split, "key").join(small, "cls")
     # pairs across components: one side is outside the largest component of the bucket; each pair is met once
     a = open_.where(F.col("label") != F.col("most")).select("key", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sketch").alias("oa"), F.col("parity").alias("pa"))

@@ -294,3 +294,9 @@ def test_pipeline_with_hard_rows_keeps_each(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert sorted((r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str) == [4, 6, None]
+
+
+def test_split_buckets_agree_on_ties(spark):
+    for labels in ([1, 2, 3], [3, 2, 1], [2, 3, 1], [1, 1, 3, 2, 3]):
+        held = spark.createDataFrame([(7, x) for x in labels] + [(8, 1), (8, 1)], "key bigint, label bigint").coalesce(1)
+        assert [tuple(r) for r in neardup._split(held).collect()] == [(7, 3, 3)]
