@@ -1,17 +1,20 @@
 """URL filter: a sort-merge range join of pages with nested prefix rules, in DataFrame operations alone.
 
-A rule (host, path) fits its host and all subdomains where the path begins with the rule's.  Keys are canonical: the last
-``k`` labels of the host in reversed order, a zero byte, the path, as bytes.  At the level ``k`` of its host's labels a
-rule fits a page if its key is a prefix of the page's, so it is the interval from its key to its key and byte FF.  At
-each level one sorted sweep passes over pages and interval ends: a running sum is the height of the stack of active
-rules, the last rule opened at each height is its slot, and the top slot is the longest rule of the level.
+A rule (host, path) fits its host and all subdomains where the path begins with the rule's.  Keys are canonical: a node (the
+first labels of the reversed host), a zero byte, the path, as bytes.  At a rule's node it fits a page if its key is a prefix
+of the page's, so it is the interval from its key to its key and byte FF.  Intervals nest.  A first sweep over the ends of
+the rules' intervals alone keeps the stack of active rules - a running sum is its height, the last rule opened at each height
+is its slot - and marks every end with the rule then on top.  A second sweep passes over pages and marked ends together: the
+last mark before a page is its rule at that node.  A page stands once for each depth at which rules have hosts, all
+depths are swept at once, and the longest of its rules wins; so the plan does not grow with the rules.
 
-Skew: a swept group is a rule's host, dealt in ``ceil(4 P n / N)`` salts (n of N pages are at the host, P shuffle
-partitions), to each of which the host's rules are copied, but to no more salts than keep the copies below its pages.
+Skew: a swept group is a node, dealt in ``ceil(4 P n / N)`` salts (n of N pages are at the node, P shuffle partitions), to
+each of which the node's marks are copied, but to no more salts than keep the copies below its pages.
 
 Defined results: host and path of a null url or one without ``://`` are empty and only a rule of an empty host could fit;
 the longest rule wins, by characters of host and path together, then the longer host; a rule that is both blocked and
-allowed blocks; without a rule the verdict is ``allow``.  Repeated pages are kept, null ids too.
+allowed blocks; rules with a null host or path are none; without a rule the verdict is ``allow``.  Repeated pages are kept,
+null ids too; columns of the input named host, path, rule or verdict give way to the result's.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import lower_ascii
+from granary.llm.common import cut, lower_ascii
 
 DEFAULT = "allow"
 
@@ -35,27 +38,23 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def _labels(host: Column) -> Column:
-    return F.size(F.split(host, r"\."))
-
-
-def _node(host: Column, labels: int) -> Column:
-    """The last labels of a host, reversed; null where it has fewer."""
-    return F.when(_labels(host) >= labels, F.array_join(F.reverse(F.split(F.substring_index(host, ".", -labels), r"\.")), "."))
+    return F.reverse(F.split(host, r"\."))
 
 
 def _key(node: Column, path: Column) -> Column:
     return F.concat(F.encode(node, "utf-8"), F.unhex(F.lit("00")), F.encode(path, "utf-8"))
 
 
-def _events(rules: DataFrame) -> DataFrame:
-    """Starts and ends of the rules' intervals."""
-    start = rules.select("node", "salt", _key(F.col("node"), F.col("r_path")).alias("key"), F.lit(1).alias("step"), F.struct("r_host", "r_path", "r_verdict").alias("rule"))
-    end = start.select("node", "salt", F.concat("key", F.unhex(F.lit("FF"))).alias("key"), F.lit(-1).alias("step"), F.lit(None).cast(start.schema["rule"].dataType).alias("rule"))
-    return start.unionByName(end)
-
-
-def _sweep(order: list[Column]) -> Window:
-    return Window.partitionBy("node", "salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _marks(rules: DataFrame) -> DataFrame:
+    """node, key and top: at every end of a rule's interval the innermost rule that is active from there on, if any."""
+    start = rules.select("node", _key(F.col("node"), F.col("r_path")).alias("key"), F.lit(1).alias("step"), F.struct("r_host", "r_path", "r_verdict").alias("rule"))
+    end = start.select("node", F.concat("key", F.unhex(F.lit("FF"))).alias("key"), F.lit(-1).alias("step"), F.lit(None).cast(start.schema["rule"].dataType).alias("rule"))
+    upto = Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = cut(start.unionByName(end).withColumn("height", F.sum("step").over(upto)), "ends")
+    deepest = swept.agg(F.max("height")).first()[0] or 0
+    slot = lambda h: F.last(F.when((F.col("step") == 1) & (F.col("height") == h), F.col("rule")), ignorenulls=True).over(upto)
+    tops = [F.when(F.col("height") == h, slot(h)) for h in range(1, deepest + 1)]
+    return swept.select("node", "key", (F.coalesce(*tops) if tops else F.col("rule")).alias("top"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
@@ -67,41 +66,30 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
         rules.select(lower_ascii(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
         .where(F.col("r_host").isNotNull() & F.col("r_path").isNotNull())
         .groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))  # block is above allow
-        .withColumn("level", _labels(F.col("r_host")))
+        .withColumn("node", F.array_join(_labels(F.col("r_host")), "."))
     )
+    marks = cut(_marks(tidy), "marks")
+    depths = sorted(r["d"] for r in tidy.select(F.size(_labels(F.col("r_host"))).alias("d")).distinct().collect())  # labels of a host: a few, 127 at most
     # one column __in of all that a page has keeps clashing names apart
-    now = pages.select(F.struct(*own).alias("__in"), host.alias("host"), path.alias("path"), F.lit(None).cast("struct<r_host:string,r_path:string,r_verdict:string>").alias("best"))
+    whole = cut(pages.select(F.monotonically_increasing_id().alias("__id"), F.struct(*own).alias("__in"), host.alias("host"), path.alias("path")), "pages")
+    labels = _labels(F.col("host"))
+    at = F.filter(F.transform(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>"), lambda d: F.when(F.size(labels) >= d, F.array_join(F.slice(labels, F.lit(1), d), "."))), lambda x: x.isNotNull())
+    paged = whole.select("__id", "path", F.explode(at).alias("node"))
+    # nodes with rules, their pages and marks, and the salts these give
+    ends = marks.groupBy("node").agg(F.count("*").alias("r"))
+    met = paged.join(ends, "node").groupBy("node").agg(F.count("*").alias("n"), F.first("r").alias("r"))
     share = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    levels = sorted(r["level"] for r in tidy.select("level").distinct().collect())  # labels of a host: a few, 127 at most
-    total = pages.count() if levels else 0
-    for level in levels:
-        at = tidy.where(F.col("level") == level).withColumn("node", _node(F.col("r_host"), level))
-        flat = at.withColumn("salt", F.lit(0))
-        height = F.sum("step").over(_sweep([F.col("key")]))
-        deepest = _events(flat).select(height.alias("height")).agg(F.max("height")).first()[0]
-        paged = now.withColumn("node", _node(F.col("host"), level))
-        met = paged.groupBy("node").agg(F.count("*").alias("n")).where(F.col("node").isNotNull())
-        per = at.groupBy("node").agg(F.count("*").alias("r")).join(met, "node")
-        salts = per.select("node", F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * share / max(total, 1)), F.floor(F.col("n") / F.col("r")))).cast("int").alias("salts"))
-        dealt = paged.join(salts, "node", "left")
-        salted = dealt.withColumn("salt", F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.col("path"), F.col("__in")), F.col("salts")).cast("int")))
-        points = salted.select("__in", "host", "path", "best", "node", "salt", _key(F.coalesce(F.col("node"), F.lit("")), F.col("path")).alias("key"), F.lit(0).alias("step"), F.lit(None).cast("struct<r_host:string,r_path:string,r_verdict:string>").alias("rule"))
-        copies = at.join(salts, "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        fits = points.where(F.col("salt") >= 0)
-        line = fits.unionByName(_events(copies), allowMissingColumns=True)
-        # at one key starts come before pages; ends never meet another key, as FF is no byte of UTF-8
-        order = [F.col("key"), F.col("step").desc()]
-        swept = line.withColumn("height", F.sum("step").over(_sweep(order)))
-        for h in range(1, deepest + 1):
-            swept = swept.withColumn(f"slot{h}", F.last(F.when((F.col("step") == 1) & (F.col("height") == h), F.col("rule")), ignorenulls=True).over(_sweep(order)))
-        top = F.coalesce(*[F.when(F.col("height") == h, F.col(f"slot{h}")) for h in range(1, deepest + 1)])
-        found = swept.where((F.col("step") == 0) & F.col("__in").isNotNull()).withColumn("top", top)
-        length = lambda c: F.length(F.col(f"{c}.r_host")) + F.length(F.col(f"{c}.r_path"))
-        # a deeper level has the longer host, so it wins ties
-        better = F.col("top").isNotNull() & (F.col("best").isNull() | (length("top") >= length("best")))
-        found = found.select("__in", "host", "path", F.when(better, F.col("top")).otherwise(F.col("best")).alias("best"))
-        now = found.unionByName(points.where(F.col("salt") < 0).select("__in", "host", "path", "best"))
-    return now.select(
+    wanted = F.least(F.ceil(F.col("n") * share / max(1, whole.count())), F.floor(F.col("n") / F.col("r")))
+    salts = cut(met.select("node", F.greatest(F.lit(1), wanted).cast("int").alias("salts")), "salts")
+    salted = paged.join(salts, "node").select("__id", "node", F.pmod(F.xxhash64("__id"), F.col("salts")).cast("int").alias("salt"), _key(F.col("node"), F.col("path")).alias("key"))
+    copies = marks.join(salts, "node").select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key", F.struct("top").alias("mark"))
+    line = salted.unionByName(copies, allowMissingColumns=True)
+    # at one key a start comes before pages; ends never meet another key, as FF is no byte of UTF-8
+    sweep = Window.partitionBy("node", "salt").orderBy("key", F.col("mark").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = line.select("__id", F.last("mark", ignorenulls=True).over(sweep)["top"].alias("top")).where(F.col("__id").isNotNull() & F.col("top").isNotNull())
+    length = F.length("top.r_host") + F.length("top.r_path")
+    best = seen.groupBy("__id").agg(F.max_by("top", F.struct(length, F.length("top.r_host"))).alias("best"))
+    return whole.join(best, "__id", "left").select(
         *[F.col("__in").getField(c).alias(c) for c in own if c not in ("host", "path", "rule", "verdict")], "host", "path",
         F.concat(F.col("best.r_host"), F.col("best.r_path")).alias("rule"), F.coalesce(F.col("best.r_verdict"), F.lit(default)).alias("verdict"),
     )

@@ -71,6 +71,32 @@ def test_url_rules(spark):
     assert url_rules.judge(df.limit(0), asked).collect() == [] and url_rules.judge(df, asked.limit(0)).where("verdict = 'allow'").count() == len(got)
 
 
+def test_url_rules_plan_does_not_grow_with_levels(spark):
+    import time
+
+    hosts = [".".join("edcba"[5 - n :]) + ".org" if n else "org" for n in range(6)]
+    rules = spark.createDataFrame([(h, "/" * (n % 2), "block") for n, h in enumerate(hosts)], "host string, path string, verdict string")
+    pages = spark.range(10_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x.e.d.c.b.a.org/"), F.col("id").cast("string")).alias("url"))
+
+    def scans(asked):
+        began = time.perf_counter()
+        df = url_rules.judge(pages, asked)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert time.perf_counter() - began < 30
+        return df, plan.count("Relation")
+
+    deep, n = scans(rules)
+    assert n == scans(rules.where("host = 'org'"))[1]
+    assert {(r["rule"], r["verdict"]) for r in deep.select("rule", "verdict").distinct().collect()} == {("e.d.c.b.a.org/", "block")}
+
+
+def test_url_rules_of_very_long_urls(spark):
+    far = "http://" + "a." * 500 + "net/" + "p/" * 100_000
+    df = spark.createDataFrame([(1, far), (2, "http://net/" + "q" * 300_000)], "page_id bigint, url string")
+    asked = spark.createDataFrame([("a.net", "/p/", "block"), ("net", "/", "allow")], "host string, path string, verdict string")
+    assert {r["page_id"]: r["rule"] for r in url_rules.judge(df, asked).collect()} == {1: "a.net/p/", 2: "net/"}
+
+
 def groups(texts, k, threshold, pattern=GAP):
     """Shingle sets and components by comparing all pairs that share a shingle."""
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
