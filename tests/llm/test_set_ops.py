@@ -16,34 +16,67 @@ DATA = "/root/testdata/sf0.001"
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def test_neighbours_recall(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+def neighbours(ids, m, k=20):
+    """The nearest rows of every query, by brute force."""
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = m @ m[q]
+        others = np.flatnonzero(np.arange(len(ids)) != q)
+        yield ids[q], s, others[np.lexsort((ids[others], -s[others]))][:k]
+
+
+@pytest.mark.parametrize(("sf", "exact"), [("0.001", False), ("0.01", False), ("0.1", False), ("0.01", True)])
+def test_neighbours_recall(spark, sf, exact):
+    df = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
     rows = df.select("vec_id", "embedding").collect()
     ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     found = defaultdict(dict)
-    for r in ann.nearest(df).collect():
+    for r in (ann.nearest(df, share=1.0, probed=None) if exact else ann.nearest(df)).collect():
         found[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
     recall = []
-    for q in np.flatnonzero(ids % 20 == 0):
-        s = m @ m[q]
-        s[q] = -np.inf
-        best = ids[np.lexsort((ids, -s))[:20]]
-        got = found[ids[q]]
-        assert sorted(got) == list(range(1, 21))
+    for q, s, best in neighbours(ids, m):
+        got = found[q]
+        assert sorted(got) == list(range(1, len(best) + 1))
         assert all(abs(s[np.flatnonzero(ids == v)[0]] - x) < 1e-12 for v, x in got.values())
-        recall.append(len({v for v, _ in got.values()} & set(best)) / 20)
-    assert np.mean(recall) >= 0.9
+        assert not exact or [v for _, (v, _) in sorted(got.items())] == ids[best].tolist()
+        recall.append(len({v for v, _ in got.values()} & set(ids[best])) / len(best))
+    assert np.mean(recall) >= (1 if exact else 0.9)
 
 
 def test_neighbours_of_hard_vectors(spark):
-    nan = float("nan")
-    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [None, 1.0], 1), (6, [2.0], 1), (20, [0.0, 1.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 1.0], 1), (7, [], 1)]
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [None, 1.0], 1), (6, [2.0], 1), (20, [0.0, 1.0], 1), (1, [5.0, 0.0], 1), (None, [1.0, 1.0], 1), (7, [], 1), (8, [inf, 1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, rank int")
     got = [tuple(r) for r in ann.nearest(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 6, 2.0), (0, 2, 1, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 6, 0.0)]
+    assert got == [(0, 1, 1, 5.0), (0, 2, 6, 2.0), (0, 3, 1, 1.0), (0, 4, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 1, 0.0), (20, 4, 6, 0.0)]
     assert ann.nearest(df.limit(0)).collect() == []
 
 
+def test_neighbours_with_infinite_products(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 0.0]), (2, [1.0, 0.0]), (3, [-1e200, 0.0]), (0, [1e199, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    inf = float("inf")
+    want = [[(0, inf), (1, inf), (2, 1e200), (3, -inf)], [(0, inf), (1, inf), (2, 1e199), (3, -inf)]]
+    by_query = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by_query[r["score"] if r["vec_id"] == 2 else None].append((r["vec_id"], r["score"]))
+    assert len(got) == 8 and sorted(x for x in by_query if x) == [1e199, 1e200]
+    assert sorted(by_query[None]) == sorted((v, s) for w in want for v, s in w if v != 2)
+
+
+def test_neighbours_of_one_crowd(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    r = np.random.default_rng(5)
+    m = r.normal(size=(600, 8))
+    m[::3] = m[0]
+    df = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(600)], "vec_id bigint, embedding array<double>")
+    found = defaultdict(list)
+    for x in sorted(ann.nearest(df).collect(), key=lambda x: x["rank"]):
+        found[x["query_id"]].append(x["vec_id"])
+    recall = [len(set(found[q]) & set(best)) / 20 for q, _, best in neighbours(np.arange(600), m)]
+    assert np.mean(recall) >= 0.9 and [v for v in found[60] if v % 3 == 0][:10] == [v for v in range(0, 33, 3) if v != 60][:10] and all(len(set(v)) == 20 for v in found.values())
+
+
 def plain_verdict(url, rules):
     host = path = ""
     if url and "://" in url:
