@@ -5,6 +5,7 @@ Sample tables become buckets of integers: money in cents, times in epoch seconds
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -16,7 +17,10 @@ from granary.functions import geo
 from granary.model import TABLE, Field, Schema, wrap_mode
 from granary.operators import dml
 from granary.operators.query import evaluate, find, multifind, nearby, project, restrict
+from granary.plans.compiler import register_op
 from granary.sources import rawcodec
+from granary.sources.catalog import Catalog
+from granary.sources.shared import shared_dir
 from granary.streaming import changelog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,3 +258,90 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("changelog_replay", lambda s, d: changelog.replay(events(s, d), _log(s, d), EVENTS), f"SELECT _table, event, created, CASE WHEN event % 5 = 0 THEN 7 ELSE kind END AS kind, value FROM e WHERE event % 15 <> 0 UNION ALL SELECT _table, event + 100000000, created, kind, value FROM e WHERE event % 7 = 0")
 _add("changelog_position", lambda s, d: changelog.position(_log(s, d)), "SELECT max(event) FILTER (event % 7 = 0) + 2100000000 AS position, count(*) FILTER (event % 5 = 0) + count(*) FILTER (event % 15 = 0) + count(*) FILTER (event % 7 = 0) AS changes FROM e")
 _add("restrict_rows", lambda s, d: restrict(parts(s, d), (T.size > 20) & ~T.size.in_([30, 40]), PARTS), "SELECT _table, part, size, price FROM p WHERE size > 20 AND size NOT IN (30, 40)")
+_add("first_row", lambda s, d: s.createDataFrame([find(orders(s, d), ORDERS, 0, T.status == 79).sort(-T.total).first()], ", ".join(f"{n} bigint" for n in ORDERS.names)), f"SELECT {_O} FROM o WHERE status = 79 ORDER BY total DESC, okey LIMIT 1")
+_add("count_items", lambda s, d: s.range(1).select(F.lit(find(orders(s, d), ORDERS, 0, T.status == 79).count()).cast("bigint").alias("n")), "SELECT count(*) AS n FROM o WHERE status = 79")
+
+
+def _clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator of the caller's own in a search."""
+    register_op("clamp", lambda x, a, b: F.greatest(a, F.least(x, b)))
+    return find(orders(spark, sf_dir), ORDERS, 0, T.prio.clamp(50, 52) == 52).items()
+
+
+_add("registered_op", _clamped, f"SELECT {_O} FROM o WHERE greatest(50, least(prio, 52)) = 52")
+
+
+def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New orders in the tables of their customers, of which some match the guard of those after them."""
+    new = orders(spark, sf_dir).where("okey % 10 = 0").select(F.col("cust").alias(TABLE), (F.col("okey") + 10**9).alias("okey"), "cust", F.expr("(okey div 10) % 3").alias("total"), F.col("okey").alias("_seq"))
+    return dml.insert(orders(spark, sf_dir, False), new, ORDERS, query=T.total == 1)
+
+
+_add("insert_guard_in_turn", _guarded, f"""SELECT {_ALL} FROM ot UNION ALL SELECT x._table, okey + 1000000000, cust, total, 0, 0, 0 FROM (SELECT cust AS _table, okey, cust, (okey // 10) % 3 AS total FROM o WHERE okey % 10 = 0) x
+LEFT JOIN (SELECT cust AS _table, min(okey) AS f FROM o WHERE okey % 10 = 0 AND (okey // 10) % 3 = 1 GROUP BY 1) y ON x._table = y._table WHERE (f IS NULL OR okey <= f) AND x._table NOT IN (SELECT cust FROM o WHERE total = 1)""")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The events in a catalog on storage, with a few commits: all in, some of table 1 updated, some of table 2 removed."""
+    c = Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    c.alter_bucket("events", *EVENTS.fields)
+    c.insert("events", None, events(spark, sf_dir))
+    c.update("events", 1, T.kind == 99, {"value": T.value + 1})
+    c.remove("events", 2, T.event % 2 == 0)
+    return c
+
+
+def _pages(c: Catalog) -> list[DataFrame]:
+    """The change feed from its beginning to its end."""
+    out: list[DataFrame] = []
+    at = -1
+    while True:
+        page, after = c.feed("events", at, 20_000)
+        if after == at:
+            return out
+        out.append(page)
+        at = after
+
+
+def _fed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = None
+    for page in _pages(_stored(spark, sf_dir)):
+        whole = page if whole is None else whole.unionByName(page)
+    return whole.where("op <> 'alter'").select("op", TABLE, "event", "kind", "value")
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of one catalog's feed replayed in another, twice over."""
+    c, to = _stored(spark, sf_dir), Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    to.alter_bucket("events", *EVENTS.fields)
+    pages = _pages(c)
+    for page in [*pages, *pages[:1]]:
+        to.replay("events", page)
+    return to.rows("events")
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream, applied batch by batch to a snapshot."""
+    at = f"{shared_dir(spark)}/follow-{uuid.uuid4().hex}"
+    events(spark, sf_dir).write.parquet(f"{at}/rows")
+    log = _log(spark, sf_dir)
+    log.repartitionByRange(3, "position").write.parquet(f"{at}/log")
+    held = [f"{at}/rows", -1]
+
+    def save(rows: DataFrame, position: int) -> None:
+        rows.write.parquet(f"{at}/rows-{position}")
+        held[:] = [f"{at}/rows-{position}", position]
+
+    stream = spark.readStream.schema(log.schema).parquet(f"{at}/log")
+    changelog.follow(stream, lambda: (spark.read.parquet(held[0]), held[1]), save, EVENTS, f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(held[0])
+
+
+_KEPT = "SELECT _table, event, created, kind, CASE WHEN _table = 1 AND kind = 99 THEN value + 1 ELSE value END AS value FROM e WHERE NOT (_table = 2 AND event % 2 = 0)"
+_add("catalog_rows", lambda s, d: _stored(s, d).rows("events"), _KEPT)
+_add("catalog_find", lambda s, d: _stored(s, d).find("events", 1, T.kind == 99).sort(-T.created).limit(50).items(), f"SELECT event, created, kind, value FROM ({_KEPT}) WHERE _table = 1 AND kind = 99 ORDER BY created DESC, event LIMIT 50")
+_add("catalog_tables", lambda s, d: s.createDataFrame([(t,) for t in _stored(s, d).tables("events")], f"{TABLE} bigint"), "SELECT DISTINCT _table FROM e WHERE _table <> 2 OR event % 2 <> 0")
+_add("catalog_buckets", lambda s, d: s.createDataFrame([(b,) for b in _stored(s, d).list_buckets()], "bucket string"), "SELECT 'events' AS bucket")
+_add("changefeed_pages", _fed, "SELECT 'upsert' AS op, _table, event, kind, value FROM e UNION ALL SELECT 'upsert', _table, event, kind, value + 1 FROM e WHERE _table = 1 AND kind = 99 UNION ALL SELECT 'remove', _table, event, kind, value FROM e WHERE _table = 2 AND event % 2 = 0")
+_add("changefeed_apply", _applied, _KEPT)
+_add("changefeed_follow", _followed, SQL["changelog_replay"].removeprefix(WITH))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from granary.expr import plain
 from granary.model import TABLE, ExprError, Schema, wrap_mode
 from granary.plans.compiler import Resolver, Scope, bind, compile_node, named_table, table_ref
 
-#: offset + limit of a search over several tables end here.
+#: offset + limit of a search over several tables end here unless ``cap`` says otherwise (None: nowhere).
 MULTI_CAP = 100_000
 
 
@@ -24,6 +25,14 @@ def conjuncts(query: Any) -> list[Any]:
     return [] if query is None else [query]
 
 
+def _all(query: Any, scope: Scope) -> Column:
+    """Whether a row meets all conditions."""
+    hit = F.lit(True)
+    for part in conjuncts(query):
+        hit = hit & compile_node(part, scope).condition()
+    return hit
+
+
 def _is_condition(x: Any) -> bool:
     if isinstance(x, (dict, bool)):
         return True
@@ -126,6 +135,10 @@ class Find:
             return replace(self, skip=self.skip + a, most=room if self.most is None else self.most if room is None else min(self.most, room))
         return self.offset(self.skip + i).limit(1).items().first()
 
+    def __iter__(self) -> Iterator[Row]:
+        """The rows in order, a partition of them at a time."""
+        yield from self.items(ordered=True).toLocalIterator()
+
     def first(self) -> Any:
         return self.limit(1).items().first()
 
@@ -155,13 +168,14 @@ class Find:
         grouped = df.withColumn("__g", group).groupBy(*within, "__g").agg(F.count("*").alias("_count"), best.alias("__row"))
         return grouped.select("_count", "__row.*"), order
 
-    def items(self) -> DataFrame:
-        """The rows asked for: ``_count`` with a group, then the fields, in order."""
+    def items(self, ordered: bool = False) -> DataFrame:
+        """The rows asked for: ``_count`` with a group, then the fields; in order if a sort, an offset or a limit needs it, or if ``ordered``."""
         with wrap_mode(self.rows.sparkSession):
             if self.key is not None:
                 return self._scoped().where(F.col(self.schema.pk.name) == self.key).select(*self.schema.names).offset(self.skip).limit(1)
             df, order = self._ranked()
-            df = df.orderBy(*order)
+            if ordered or self.order is not None or self.skip or self.most is not None:
+                df = df.orderBy(*order)
             if self.skip:
                 df = df.offset(self.skip)
             if self.most is not None:
@@ -184,20 +198,20 @@ class Find:
         with wrap_mode(spark):
             if self.key is not None:
                 return spark.range(1).select(F.lit(0).cast("bigint").alias("num_items"), F.lit(False).alias("has_more"))
-            one = lambda df, name: df.agg(F.count("*").alias(name))
             scope = Scope(self.schema, self.resolve)
-            flag = [compile_node(p, scope).condition() for p in conjuncts(self.query)]
-            size = bind(self._scoped(), scope)
-            hit = F.lit(True)
-            for c in flag:
-                hit = hit & c
-            total = size.agg(F.count("*").alias("t"), F.coalesce(F.sum(F.when(hit, 1).otherwise(0)), F.lit(0)).alias("q"))
-            kept = one(self._kept(), "f")
-            all_ = total.join(kept)
-            if self.by is not None:
-                all_ = all_.join(one(self._ranked()[0], "g"))
-            else:
-                all_ = all_.withColumn("g", F.lit(None).cast("bigint"))
+            hit = _all(self.query, scope)
+            # one pass: rows are flagged, not filtered, and counted by their flags
+            df = bind(self._scoped(), scope).withColumn("__q", hit).select(TABLE, *self.schema.names, "__q")
+            df = assign(df, self.updates, self.schema, self.resolve)
+            scope = Scope(self.schema, self.resolve, prefix="__n")
+            keep = F.col("__q") & _all(self.keep, scope)
+            group = compile_node(self.by, scope).integer() if self.by is not None else None
+            df = bind(df, scope)
+            number = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+            groups = F.lit(None).cast("bigint") if group is None else F.count_distinct(F.when(keep, group))
+            all_ = df.agg(F.count("*").alias("t"), number(F.col("__q")).alias("q"), number(keep).alias("f"), *([] if group is None else [groups.alias("g")]))
+            if group is None:
+                all_ = all_.withColumn("g", groups)
             end = F.col("t") if self.most is None and not self.skip else F.least(F.col("t"), F.lit(2**62 if self.most is None else self.skip + self.most))
             shown = F.coalesce("g", "f")
             items = F.when(F.col("g").isNotNull(), F.col("q") - F.col("f") + F.col("g")).otherwise(F.col("q"))
@@ -227,6 +241,12 @@ class MultiFind:
     resolve: Resolver | None = None
     skip: int = 0
     most: int | None = None
+    cap: int | None = MULTI_CAP
+
+    @property
+    def _end(self) -> int | None:
+        ends = [x for x in (self.cap, None if self.most is None else self.skip + self.most) if x is not None]
+        return min(ends) if ends else None
 
     def _listed(self) -> DataFrame:
         distinct = sorted(set(self.tables))
@@ -239,19 +259,20 @@ class MultiFind:
     def items(self) -> DataFrame:
         with wrap_mode(self.rows.sparkSession):
             df = restrict(self._listed(), self.query, self.schema, self.resolve)
-            end = min(MULTI_CAP, MULTI_CAP if self.most is None else self.skip + self.most)
             df = df.orderBy(F.col(self.schema.pk.name).desc(), TABLE)
             if self.skip:
                 df = df.offset(self.skip)
-            return df.limit(max(0, end - self.skip)).select(TABLE, *self.schema.names)
+            if self._end is not None:
+                df = df.limit(max(0, self._end - self.skip))
+            return df.select(TABLE, *self.schema.names)
 
     def numbers(self) -> DataFrame:
         """One row: num_items (rows of the listed tables, whatever the query) and has_more."""
         with wrap_mode(self.rows.sparkSession):
-            listed = self._listed().agg(F.count("*").alias("num_items"))
-            matched = restrict(self._listed(), self.query, self.schema, self.resolve).agg(F.count("*").alias("m"))
-            end = MULTI_CAP if self.most is None else min(MULTI_CAP, self.skip + self.most)
-            return listed.join(matched).select("num_items", (F.col("m") > end).alias("has_more"))
+            scope = Scope(self.schema, self.resolve)
+            hit = _all(self.query, scope)
+            both = bind(self._listed(), scope).agg(F.count("*").alias("num_items"), F.coalesce(F.sum(F.when(hit, 1).otherwise(0)), F.lit(0)).alias("m"))
+            return both.select("num_items", (F.lit(False) if self._end is None else F.col("m") > self._end).alias("has_more"))
 
     def count(self) -> int:
         return self.numbers().first()["num_items"]
@@ -260,8 +281,8 @@ class MultiFind:
         return self.numbers().first()["has_more"]
 
 
-def multifind(rows: DataFrame, schema: Schema, tables: list[int], query: Any = None, offset: int = 0, limit: int | None = None, resolve: Resolver | None = None) -> MultiFind:
-    return MultiFind(rows, schema, tuple(tables), plain(query), resolve, max(0, offset), None if limit is None or limit < 0 else limit)
+def multifind(rows: DataFrame, schema: Schema, tables: list[int], query: Any = None, offset: int = 0, limit: int | None = None, resolve: Resolver | None = None, cap: int | None = MULTI_CAP) -> MultiFind:
+    return MultiFind(rows, schema, tuple(tables), plain(query), resolve, max(0, offset), None if limit is None or limit < 0 else limit, cap)
 
 
 def evaluate(spark, expression: Any) -> DataFrame:

@@ -160,9 +160,20 @@ def _pow(scope: Scope, args: list[Any]) -> Typed:
     typed, _ = _bits(scope, args)
     x, y = (t.integer() for t in typed)
     one = F.lit(1).cast("bigint")
+    constant = args[1] if isinstance(args[1], int) and not isinstance(args[1], bool) and args[1] >= 0 else None
+    if constant is not None and constant <= 32:
+        # squared and multiplied out; the column of a square stands twice in the next, so only for small exponents
+        power, square, n = None, x, constant
+        while n:
+            if n & 1:
+                power = square if power is None else power * square
+            n >>= 1
+            square = square * square if n else square
+        return Typed(one if power is None else power, INT)
+    steps = 62 if constant is None else constant.bit_length() - 1
     bit = lambda s: F.call_function("shiftright", s["y"], F.lit(1))
     step = lambda s, _: F.struct(F.when(s["y"].bitwiseAND(one) == 1, s["r"] * s["b"]).otherwise(s["r"]).alias("r"), (s["b"] * s["b"]).alias("b"), bit(s).alias("y"))
-    power = F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.struct(one.alias("r"), x.alias("b"), y.alias("y")), step, lambda s: s["r"])
+    power = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.struct(one.alias("r"), x.alias("b"), y.alias("y")), step, lambda s: s["r"])
     return Typed(F.when(y < 0, F.lit(0).cast("bigint")).otherwise(power), INT)
 
 
@@ -225,7 +236,7 @@ def _in(scope: Scope, args: list[Any]) -> Typed:
         if not found:
             return Typed(F.lit(False), BOOL)
         rows, schema = found
-        keys = rows.select(F.col(schema.pk.name).alias("__key"), F.lit(True).alias("__has")).distinct()
+        keys = rows.select(F.col(schema.pk.name).alias("__key"), F.lit(True).alias("__has"))
         return Typed(F.coalesce(scope.lookup(x, keys, "__has"), F.lit(False)), BOOL)
     if not isinstance(many, list) or not all(isinstance(v, int) for v in many):
         raise ExprError("$in takes a list of integers or a table")

@@ -76,11 +76,10 @@ def decode(records: DataFrame, schema: Schema) -> DataFrame:
 
 
 def export_tables(rows: DataFrame, schema: Schema) -> DataFrame:
-    """_table and data: the records of each table in key order, for exchange of small tables (one row holds one table)."""
-    packed = encode(rows, schema)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(schema.pk.name).alias("k"), "record")))
-    joined = F.aggregate(F.transform(ordered, lambda x: F.hex(x["record"])), F.lit(""), lambda a, x: F.concat(a, x))
-    return packed.groupBy(TABLE).agg(F.unhex(joined).alias("data"))
+    """_table, chunk and data: the records of each table in key order; a large table comes in several chunks, in order of keys."""
+    packed = encode(rows, schema).repartitionByRange(TABLE, schema.pk.name).withColumn("chunk", F.spark_partition_id())
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(schema.pk.name).alias("k"), F.hex("record").alias("h"))))
+    return packed.groupBy(TABLE, "chunk").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["h"]), "")).alias("data"))
 
 
 def import_tables(tables: DataFrame, schema: Schema) -> DataFrame:

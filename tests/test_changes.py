@@ -65,8 +65,13 @@ def test_dml(spark):
     assert state(dml.insert(rows, new, KV, overwrite=True)) == [(0, 1, 99, 0), (0, 2, 20, 0), (0, 3, 5, 0), (1, 1, 30, 0)]
     assert state(dml.insert(rows, new, KV, query=T.a == 20)) == state(rows)
     assert len(state(dml.insert(rows, new, KV, query=T.a == 30))) == 4
+    mixed = new.where("k <> 1").unionByName(spark.createDataFrame([(1, 9, 3, 9)], new.schema))
+    assert state(dml.insert(rows, mixed, KV, query=T.a == 30)) == [(0, 1, 10, 0), (0, 2, 20, 0), (0, 3, 44, 0), (1, 1, 30, 0)]
     turn = spark.createDataFrame([(0, 7, 1, 0), (0, 8, 50, 1), (0, 9, 1, 2)], f"{TABLE} bigint, k bigint, a bigint, _seq bigint")
-    assert [x[1] for x in state(dml.insert_in_turn(rows, turn, KV, T.a == 50)) if x[1] > 5] == [7, 8]
+    again = spark.createDataFrame([(0, 7, 1, 0), (0, 7, 50, 1), (0, 8, 2, 2)], f"{TABLE} bigint, k bigint, a bigint, _seq bigint")
+    assert [x[1:3] for x in state(dml.insert(rows, again, KV, overwrite=True, query=T.a == 50)) if x[1] > 5] == [(7, 50)]
+    assert [x[1:3] for x in state(dml.insert(rows, again, KV, query=T.a == 50)) if x[1] > 5] == [(7, 1), (8, 2)]
+    assert [x[1] for x in state(dml.insert(rows, turn, KV, query=T.a == 50)) if x[1] > 5] == [7, 8]
     assert state(dml.update(rows, {"a": T.a + 250, "b": T.a}, T.k == 1, KV, table=0)) == [(0, 1, 4, 4), (0, 2, 20, 0), (1, 1, 30, 0)]
     assert state(dml.update(rows, {"a": 1, "b": T.a}, T.a == 10, KV)) == [(0, 1, 1, 1), (0, 2, 20, 0), (1, 1, 30, 0)]
     assert state(dml.remove(rows, T.a > 15, KV)) == [(0, 1, 10, 0)] and state(dml.remove(rows, {}, KV)) == [] and state(dml.remove(rows, None, KV, table=0)) == [(1, 1, 30, 0)]
@@ -86,8 +91,9 @@ def test_catalog(spark, tmp_path):
         c.insert("kv", 5, {"k": 1.5})
     with pytest.raises(DataError):
         c.insert("kv", 5, {"k": 12, "zz": 1})
-    c.update("kv", 5, {"k": 9}, {"a": 3})
-    c.remove("kv", 6, {"k": 2})
+    assert state(c.update("kv", 5, {"k": 9}, {"a": 3})) == [(5, 9, 3, 0)] and state(c.update("kv", 5, {"k": 99}, {"a": 3})) == []
+    assert c.remove("kv", 6, {"k": 2}) and not c.remove("kv", 6, {"k": 2})
+    assert list(c.tables("kv", page=1)) == [5, 6] and c.fields("kv") == ["k", "a", "b"]
     assert state(c.rows("kv")) == [(5, 1, 8, 0), (5, 9, 3, 0), (6, 3, 0, -1)] and [r[0] for r in c.list_tables("kv").collect()] == [5, 6]
     log = c.log("kv")
     empty = spark.createDataFrame([], KV.struct())
@@ -101,29 +107,64 @@ def test_catalog(spark, tmp_path):
     with pytest.raises(Exception, match="frozen"):
         c.remove("kv", 8)
     c.thaw("kv")
-    assert c.stats()["num_commands"] > 5
+    before = c.stats()["num_scans"]
+    assert len(c.find("kv", 5).items().collect()) == 2
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert c.stats()["num_commands"] > 5 and c.stats()["num_scans"] >= before + 2
+    assert c.commands().count() == 0
     c.drop_bucket("kv")
     with pytest.raises(BucketMissing):
         c.rows("kv")
+    assert [tuple(r)[:2] for r in c.commands().collect()] == [("drop", "kv")] and c.list_buckets() == []
 
 
-def test_log_pages(spark, tmp_path):
-    c = Catalog(spark, f"file://{tmp_path}/data")
+def test_pages_of_changes_make_an_equal_bucket(spark, tmp_path):
+    c, d = Catalog(spark, f"file://{tmp_path}/from"), Catalog(spark, f"file://{tmp_path}/to")
     c.alter_bucket("kv", *KV.fields)
     c.insert("kv", 5, [{"k": i, "a": i % 7} for i in range(1, 1301)])
     c.remove("kv", 5, T.k <= 600)
-    at, met = -1, []
+    c.set_raw("kv", 8, c.get_raw("kv", 5)[: 7 * 20])
+    c.update("kv", 8, T.k < 610, {"a": 77})
+    c.alter_bucket("kv", *KV.fields, Field("likes", 20))
+    c.insert("kv", 9, {"k": 1, "likes": 5})
+    at, met, kinds = -1, [], {}
     while True:
-        try:
-            page = c.log("kv", at).collect()
-        except GranaryError:
+        page, after = c.feed("kv", at)
+        n = page.count()
+        if not n:
             break
-        assert 0 < len(page) <= 512
-        met, at = met + page, page[-1]["position"]
-    assert sorted((r["op"], r["k"]) for r in met) == sorted([("upsert", i) for i in range(1, 1301)] + [("remove", i) for i in range(1, 601)])
-    assert len({r["position"] for r in met}) == len(met)
-    done = changelog.replay(spark.createDataFrame([], KV.struct()), spark.createDataFrame(met, c.log("kv").schema), KV)
-    assert state(done) == state(c.rows("kv"))
+        assert n <= 512 and after > at and d.replay("kv", page) == after == d.applied("kv")
+        assert d.replay("kv", page) == after
+        for r in page.collect():
+            met.append(r["position"])
+            kinds[r["op"]] = kinds.get(r["op"], 0) + 1
+        at = after
+    assert kinds == {"alter": 2, "upsert": 1300 + 20 + 9 + 1, "remove": 600 + 1} and len(set(met)) == len(met)
+    assert c.log("kv", limit=None).count() == len(met)
+    assert sorted(map(tuple, d.rows("kv").collect())) == sorted(map(tuple, c.rows("kv").collect())) and d.fields("kv") == c.fields("kv")
+    with pytest.raises(GranaryError):
+        d.set_position("kv", 7)
+    d.alter_bucket("own", *KV.fields)
+    d.set_position("own", 7)
+    assert d.applied("own") == 7
+
+
+def test_small_commits_leave_the_rest_alone(spark, tmp_path):
+    import os
+
+    c = Catalog(spark, f"file://{tmp_path}/data", compact_after=3)
+    files = lambda: {os.path.join(a, f) for a, _, fs in os.walk(f"{tmp_path}/data/kv/rows") for f in fs}
+    c.alter_bucket("kv", *KV.fields)
+    c.insert("kv", None, spark.range(1000).selectExpr(f"id % 5 as {TABLE}", "id as k", "id % 100 as a"))
+    c.compact("kv")
+    before = files()
+    c.insert("kv", 1, {"k": 5000, "a": 1})
+    assert files() == before and c.rows("kv").count() == 1001
+    c.remove("kv", 1, T.k == 1)
+    c.update("kv", 2, T.k == 2, {"a": 99})
+    assert files() > before and c.rows("kv").count() == 1000 and len(c.vacuum("kv")) == 2 and c.rows("kv").count() == 1000
+    plan = c.find("kv", 2, T.a == 99).items()._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(a,99)" in plan and [r["k"] for r in c.find("kv", 2, T.a == 99)] == [2]
 
 
 LOG = f"position bigint, op string, {TABLE} bigint, k bigint, a bigint, b bigint, query string"
@@ -136,6 +177,10 @@ def test_replay(spark):
     assert state(done) == [(0, 1, 9, 0), (0, 3, 1, 0)]
     assert state(changelog.replay(done, log.where("position = 2"), KV, after=5)) == state(done)
     assert tuple(changelog.position(log).first()) == (5, 5)
+    # removals by query among changes: what comes after them stands
+    more = [*CHANGES, (6, "remove", 0, None, None, None, '["$gt", "a", 8]'), (7, "upsert", 0, 4, 9, 0, None), (8, "remove", 1, None, None, None, "{}"), (9, "remove", 0, None, None, None, '{"k": 3}'), (10, "upsert", 0, 3, 2, 0, None)]
+    held = spark.createDataFrame([(0, 50, 9, 0), (0, 51, 3, 0), (1, 1, 1, 1)], KV.struct())
+    assert state(changelog.replay(held, spark.createDataFrame(more, LOG), KV)) == [(0, 3, 2, 0), (0, 4, 9, 0), (0, 51, 3, 0)]
 
 
 def test_stream(spark, tmp_path):

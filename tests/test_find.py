@@ -23,7 +23,7 @@ def resolve_for(spark):
 
 
 def ids(search):
-    return [r["photo_id"] - 100000 for r in search.items().collect()]
+    return [r["photo_id"] - 100000 for r in search.items(ordered=True).collect()]
 
 
 def numbers(search):
@@ -43,7 +43,7 @@ def test_filter_sort_and_numbers(photos):
 
 def test_groups(photos):
     rows = find(photos, PHOTO, 5).group(T.location_id)
-    assert [(r["photo_id"] - 100000, r["_count"]) for r in rows.items().collect()] == [(1, 2), (2, 2), (3, 2), (4, 1), (5, 1)]
+    assert [(r["photo_id"] - 100000, r["_count"]) for r in rows] == [(1, 2), (2, 2), (3, 2), (4, 1), (5, 1)]
     assert [(r["photo_id"] - 100000, r["_count"]) for r in rows.sort(-T.created).items().collect()] == [(8, 2), (7, 2), (6, 2), (5, 1), (4, 1)]
     assert ids(rows.limit(2)) == [1, 2] and numbers(rows.limit(2)) == (5, True)
 
@@ -92,6 +92,41 @@ def test_predicates_reach_the_scan(spark, tmp_path, photos):
     assert "EqualTo(location_id,101)" in plan and "GreaterThan(created,5)" in plan and "EqualTo(_table,5)" in plan
 
 
+def test_plain_searches_do_not_sort(photos):
+    plan = lambda f: f.items()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan(find(photos, PHOTO, 5, T.location_id > 1)) and "Sort" in plan(find(photos, PHOTO, 5).offset(1)) and "Sort" in plan(find(photos, PHOTO, 5).sort(T.created))
+    assert [r["photo_id"] for r in find(photos, PHOTO, 5)] == [p for p, _, _ in ROWS]
+
+
+def test_numbers_take_one_pass(spark, tmp_path, photos):
+    photos.write.parquet(str(tmp_path / "p"))
+    f = find(spark.read.parquet(str(tmp_path / "p")), PHOTO, 5, ~T.is_private).update({"location_id": T.location_id + 1}).filter(T.location_id < 104).group(T.location_id)
+    assert f.numbers()._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1 and numbers(f) == (5, False)
+
+
+def test_power(spark):
+    for x, n in ((3, 0), (3, 1), (-3, 5), (7, 31), (5, 33), (2, 63), (3, 2**40), (0, 0)):
+        want = pow(x, n, 1 << 64)
+        assert evaluate(spark, ["$pow", x, n]).first()[0] == want - (1 << 64) * (want >> 63) == evaluate(spark, ["$pow", x, ["$add", n, 0]]).first()[0]
+
+
+def test_own_operators(spark, photos):
+    from granary.plans import compiler
+
+    compiler.register_op("clamp", lambda x, a, b: F.greatest(a, F.least(x, b)))
+    try:
+        assert ids(find(photos, PHOTO, 5, T.location_id.clamp(102, 104) == 104)) == [4, 5]
+    finally:
+        del compiler.OPS["$clamp"]
+
+
+def test_cap_of_several_tables(spark):
+    schema = Schema.of(Field("pk", 40, primary_key=True))
+    rows = spark.range(30).selectExpr(f"id % 3 as {TABLE}", "id as pk")
+    assert multifind(rows, schema, [0, 1], cap=5).items().count() == 5 and multifind(rows, schema, [0, 1], cap=None).items().count() == 20
+    assert multifind(rows, schema, [0, 1], cap=5).has_more() and not multifind(rows, schema, [0, 1], cap=None).has_more()
+
+
 def test_errors(spark):
     for bad in ([], ["$nope", 1], "field", ["$if", 1], ["$in", 2, ["x"]], ["$mod", 1.5, 2]):
         with pytest.raises(ExprError):
