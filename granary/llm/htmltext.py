@@ -1,30 +1,38 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines (blocks of the page, in page order) with the boilerplate elements gone; a gap is left where
-one was.  Text lengths are summed over a sliding window of lines; a surge is where the sum rises over a threshold, the
-dive where it falls to nothing.  Kept is the text between surge and dive, of every such run.  Boilerplate within the
-article leaves gaps too, so the container of the longest run (the innermost that holds all of it) is taken for the article's
-and what stands in it is kept as well, however short.  A page that marks its article (article, main, role=main, itemprop=articleBody) is weighed within
-those marks, where every block belongs to the text, however short.
-
-Defined results: null or empty html gives an empty text; unclosed elements end with their parent or the page; truncated
-tags are no text; character references are decoded as HTML does, an unknown one stays; repeated rows are kept.
+Markup is stripped into lines (the blocks of the page, in page order).  A line weighs the characters it has outside of links;
+boilerplate weighs nothing and leaves a gap.  Weights are summed over a sliding window of ``WINDOW`` lines: text surges where
+the sum reaches ``SURGE`` (or the page's peak, if that is lower) and dives where it falls to nothing.  What is kept is decided
+by these surges alone, on every page:
+
+* Lines are weighed in segments, which end at gaps and where the container (such as a div) or the mark changes.
+* A mark (article, main, role=main, itemprop=articleBody) multiplies the page's peak within it by ``MARK``: if that is still
+  above the peak outside, only marked text is looked at, of articles if one of them surges.  A mark with a surge is kept as a
+  whole, and so is the container of a surging segment, however short its other blocks; of text that stands in the
+  body itself only the lines from surge to dive are.
+* Elements that by name, role or class look like boilerplate are no lines.  Class words count on containers alone, never on a
+  paragraph.  A form or such a class that holds most of the page's text, while nothing surges outside, is layout and its text counts.
+
+Defined results: null or empty html gives an empty text, as does a page of boilerplate; unclosed elements end with their parent
+or the page; truncated tags are no text; character references are decoded as HTML does, an unknown one stays; repeated rows
+are kept; time and memory are linear in the page.
 """
 
 from __future__ import annotations
 
 import html as entities
-import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from granary.llm.common import small_batches
 
-WINDOW, SURGE = 3, 80
+WINDOW, SURGE, MARK = 3, 80, 8
 #: Fixed values of HTML: elements without text of their own, elements that never close, elements that stand as blocks.
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea button datalist map".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -32,154 +40,243 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Blocks that hold other blocks of a text.
-CONTAINERS = frozenset("article body center div html main section".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold other blocks of a text, and those of them that hold all of a page.
+CONTAINERS, ROOTS = frozenset("article body center div html main section".split()), frozenset("body html".split())
+REPEATING = frozenset("p li dt dd option tr td th".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Parts of class names and ids that mark what is no article.
+#: Elements whose class and id are looked at, and the words that mark what is no article.
+CLASSED = frozenset("div section ul ol dl table article header center details fieldset figure".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments respond disqus notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup related recommended share sharing social widget toolbar pagination pager skip copyright".split()
 )
+#: Words that may follow such a word in a name: ad-slot is an advert, ad-hoc is none.
+PLACES = frozenset("area bar block bottom box buttons col column container content form group holder inner item items left links list main module outer panel right row section slot text top unit wrap wrapper zone".split())
 #: A class such as has-sidebar tells of a part elsewhere; of an article's own class only these count.
 PREFIXES = frozenset("has with no without is js".split())
 ARTICLE_MARKS = frozenset("comment comments related ad ads advert sponsored promo".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?=[A-Za-z/])[^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?=[A-Za-z/])[^>]*+(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPLIT = re.compile(r"[^a-z]+")
+_MAIN = re.compile(r"role\s*=\s*[\"']?main\b")
+
+
+class Line(NamedTuple):
+    text: str
+    plain: int  #: characters outside of links
+    suspects: tuple[int, ...]  #: elements around it that look like boilerplate, by where they begin
+    mark: tuple[int, int] | None  #: 3 for an article, 2 for a main part, 1 for an article's body; and where it begins
+    home: tuple[str, int]  #: the innermost container and where it begins
+
+
+class _Open(NamedTuple):
+    name: str
+    silent: bool
+    suspects: tuple[int, ...]
+    mark: tuple[int, int] | None
+    home: tuple[str, int]
+    linked: bool
+    blocks: int  #: open blocks up to here
+
 
+_NONE = _Open("", False, (), None, ("html", -1), False, 0)
 
-def _unwanted(name: str, attrs: str, article: bool) -> bool:
-    """Whether an element is boilerplate by its name, role, class or id."""
-    if name in BOILERPLATE or name == "header" and not article:
+
+def _suspect(name: str, attrs: str, marked: bool) -> bool:
+    """Whether an element looks like boilerplate by its name, role, class or id."""
+    if name in BOILERPLATE or name == "header" and not marked:
         return True
-    if "=" not in attrs and "hidden" not in attrs:
+    if "=" not in attrs or name not in BLOCKS:
         return False
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true":
         return True
-    if name in ("main", "body", "html"):
+    if name not in CLASSED:
         return False
     marks = ARTICLE_MARKS if name == "article" else MARKS
     for own in f"{found.get('class', '')} {found.get('id', '')}".split():
         parts = [x for x in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", own).lower()) if x]
-        if parts and parts[0] not in PREFIXES and (parts[0] in marks or parts[-1] in marks):
+        if parts and parts[0] not in PREFIXES and (parts[-1] in marks or parts[0] in marks and all(x in PLACES for x in parts[1:])):
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, tuple[int, ...]]]:
-    """The blocks of a page in order, each with whether it stands in a marked article and its containers; "" where boilerplate was."""
-    out: list[tuple[str, bool, tuple[int, ...]]] = []
+def _mark(name: str, attrs: str, at: int) -> tuple[int, int] | None:
+    if name == "article":
+        return 3, at
+    if name == "main" or "main" in attrs and _MAIN.search(attrs):
+        return 2, at
+    return (1, at) if "articleBody" in attrs else None
+
+
+def lines(page: str) -> tuple[list[Line], set[int]]:
+    """The blocks of a page in order, and the suspects that may be layout."""
+    out: list[Line] = []
     block: list[str] = []
-    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # open elements: name, silent from here on, an article from here on, containers (by where they begin)
-    silent = article = False
-    at, size = 0, len(page)
+    links: list[str] = []
+    stack: list[_Open] = [_NONE]
+    where: dict[str, list[int]] = defaultdict(list)  # places in the stack by name
+    layout: set[int] = set()
 
     def end() -> None:
         text = " ".join(entities.unescape("".join(block)).split())
         if text:
-            out.append((text, article, stack[-1][3] if stack else ()))
+            own = stack[-1]
+            linked = len(" ".join(entities.unescape("".join(links)).split())) if links else 0
+            out.append(Line(text, max(0, len(text) - linked), own.suspects, own.mark, own.home))
         block.clear()
+        links.clear()
 
-    def gap() -> None:
-        end()
-        if out and out[-1][0]:
-            out.append(("", article, ()))
+    def close(k: int) -> None:
+        for o in stack[k:]:
+            where[o.name].pop()
+        del stack[k:]
 
+    at, size = 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
-        if not silent:
-            block.append(page[at : m.start() if m else size])
+        own = stack[-1]
+        if not own.silent:
+            part = page[at : m.start() if m else size]
+            block.append(part)
+            if own.linked:
+                links.append(part)
         if not m:
             break
-        at = m.end()
-        closing, name, attrs = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
+        begin, at = m.start(), m.end()
+        name, attrs = (m.group(2) or "").lower(), m.group(3) or ""
         if not name:
             continue
-        if closing:
-            if name == "br":
-                block.append(" ")
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+        if m.group(1):
+            k = where[name][-1] if where[name] else 0
             # an inline or paragraph end never closes blocks around it
-            if k >= 0 and (name in BLOCKS and name != "p" or name in SILENT or not any(s[0] in BLOCKS for s in stack[k + 1 :])):
-                was = silent
-                if name in BLOCKS and not was:
+            if k and (name in BLOCKS and name != "p" or name in SILENT or stack[-1].blocks == stack[k].blocks):
+                if name in BLOCKS and not own.silent:
                     end()
-                del stack[k:]
-                silent, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                if was and not silent:
-                    gap()
-            elif name in BLOCKS and not silent:
+                close(k)
+            elif name in BLOCKS and not own.silent:
                 end()
+            elif name == "br":
+                block.append(" ")
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else size
+            shut = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            at = shut.end() if shut else size
             continue
-        if name == "br" or name == "wbr":
-            if not silent and name == "br":
+        if name in VOID or attrs.rstrip().endswith("/") and name not in BLOCKS and name not in SILENT:
+            if name == "br" and not own.silent:
                 block.append(" ")
+            elif name in BLOCKS and not own.silent:
+                end()
             continue
-        marked = name in ("article", "main") or "main" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs) is not None or "articleBody" in attrs
-        if marked and silent and name in ("article", "main") and not any(s[2] for s in stack):
-            # boilerplate that was never closed ends where the article begins
-            k = next(i for i, s in enumerate(stack) if s[1])
-            del stack[k:]
-            silent = False
-            gap()
-        if name in BLOCKS and not silent:
+        mark = _mark(name, attrs, begin)
+        if name in BLOCKS and not own.silent:
             end()
-        if name in VOID or attrs.rstrip().endswith("/") and name not in BLOCKS and name not in SILENT:
-            continue
-        if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
-            stack.pop()
-            silent, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        hush = silent or name in SILENT or _unwanted(name, attrs, article)
-        if hush and not silent and name in BLOCKS | SILENT:
-            gap()
-        held = stack[-1][3] if stack else ()
-        stack.append((name, hush, (article or marked) and not hush, (*held, at) if name in CONTAINERS else held))
-        silent, article = hush, stack[-1][2]
+        if mark and own.suspects and not own.mark and name in ("article", "main"):
+            # boilerplate that was never closed ends where the article begins; a form may hold all of a page
+            k = next((i for i, o in enumerate(stack) if o.suspects and o.name != "form" and o.suspects != stack[i - 1].suspects), 0)
+            if k:
+                close(k)
+        if name in REPEATING and stack[-1].name == name:
+            close(len(stack) - 1)
+        own = stack[-1]
+        suspects = own.suspects
+        if not own.silent and _suspect(name, attrs, own.mark is not None):
+            suspects = (*suspects, begin)
+            if name == "form" or name not in BOILERPLATE and name != "header" and "role" not in attrs and "aria-hidden" not in attrs:
+                layout.add(begin)
+        if mark and own.mark and own.mark[0] >= mark[0]:
+            mark = None
+        home = (name, begin) if name in CONTAINERS else own.home
+        where[name].append(len(stack))
+        stack.append(_Open(name, own.silent or name in SILENT, suspects, mark or own.mark, home, own.linked or name == "a", own.blocks + (name in BLOCKS)))
     end()
-    return out
+    return out, layout
 
 
-def spans(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+def spans(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
     """Half-open runs of lines from a surge to its dive.
 
-    A block at line i sums the lengths of lines i to i + window - 1, as far as no gap (a line without text) comes between.
-    A run of lines between gaps counts if some block of it surges to ``surge`` characters; it dives at the next gap.
+    The block of line i sums the weights of the lines i to i + window - 1.  A run begins with the first line that weighs
+    anything in a block of at least ``surge``, and ends after the last such line before a block that weighs nothing.
     """
-    text = np.concatenate(([False], np.asarray(lengths) > 0, [False]))
-    edges = np.flatnonzero(text[1:] != text[:-1])
-    found = []
-    for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        total = np.concatenate(([0], np.cumsum(lengths[a:z])))
-        at = np.arange(z - a)
-        if (total[np.minimum(at + window, z - a)] - total[at]).max() >= surge:
-            found.append((a, z))
+    total = [0, *accumulate(weights)]
+    n = len(weights)
+    sums = [total[min(i + window, n)] - total[i] for i in range(n)]
+    found, i = [], 0
+    while i < n:
+        if sums[i] < surge or not sums[i]:
+            i += 1
+            continue
+        a = next(k for k in range(i, n) if weights[k])
+        z = next((k for k in range(a, n) if not sums[k]), n)
+        i = z
+        while not weights[z - 1]:
+            z -= 1
+        found.append((a, z))
     return found
 
 
+def _segments(own: list[Line], weights: list[int], gone: list[bool]) -> list[tuple[int, int]]:
+    """Runs of lines that no gap, other mark or other container parts."""
+    out, a = [], 0
+    for i in range(1, len(own) + 1):
+        if i == len(own) or gone[i] != gone[a] or own[i].mark != own[a].mark or own[i].home != own[a].home:
+            if not gone[a]:
+                out.append((a, i))
+            a = i
+    return out
+
+
+def _peak(weights: list[int], segments: list[tuple[int, int]]) -> int:
+    return max((sum(weights[i : min(i + WINDOW, z)]) for a, z in segments for i in range(a, z)), default=0)
+
+
+def _boilerplate(own: list[Line], layout: set[int]) -> list[bool]:
+    """Which lines are boilerplate: suspects that hold most of a page on which nothing else surges are cleared, outermost first."""
+    cleared: set[int] = set()
+    total = sum(x.plain for x in own)
+    while True:
+        gone = [any(s not in cleared for s in x.suspects) for x in own]
+        weights = [x.plain for x in own]
+        segments = _segments(own, weights, gone)
+        if _peak(weights, segments) >= SURGE or any(own[a].mark for a, _ in segments):
+            return gone
+        mass: dict[int, int] = defaultdict(int)
+        for x in own:
+            first = next((s for s in x.suspects if s not in cleared), None)
+            if first in layout:
+                mass[first] += x.plain
+        most = max(mass, key=lambda s: mass[s], default=None)
+        if most is None or 2 * mass[most] <= total:
+            return gone
+        cleared.add(most)
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by line feeds."""
     if not page:
         return ""
-    own = lines(page)
-    marked = np.array([article and t != "" for t, article, _ in own], bool)
-    lengths = np.array([len(t) for t, _, _ in own], np.int64)
-    if marked.any():
-        # every block of a marked article surges by itself, and all else is a gap
-        runs = spans(np.where(marked, lengths + SURGE, 0))
-        return "\n".join(t for a, z in runs for t, _, _ in own[a:z])
-    runs = spans(lengths) or spans(lengths, surge=1)
-    if not runs:
+    own, layout = lines(page)
+    gone = _boilerplate(own, layout)
+    # links within a mark are part of the text; on a page of links alone they are all there is
+    weights = [0 if g else len(x.text) if x.mark else x.plain for x, g in zip(own, gone, strict=True)]
+    if not any(weights):
+        weights = [0 if g else len(x.text) for x, g in zip(own, gone, strict=True)]
+    segments = _segments(own, weights, gone)
+    marked, open_ = ([s for s in segments if (own[s[0]].mark is not None) == m] for m in (True, False))
+    inside, outside = _peak(weights, marked), _peak(weights, open_)
+    chosen, peak = (marked, inside) if inside and inside * MARK >= outside else (segments, max(inside, outside))
+    if not peak:
         return ""
-    a, z = max(runs, key=lambda run: int(lengths[run[0] : run[1]].sum()))
-    home = os.path.commonprefix([held for _, _, held in own[a:z]])
-    surged = {i for a, z in runs for i in range(a, z)}
-    return "\n".join(t for i, (t, _, held) in enumerate(own) if t and (i in surged or held[: len(home)] == home))
+    runs = [(a + i, a + j) for a, z in chosen for i, j in spans(weights[a:z], surge=min(SURGE, peak))]
+    kept = {i for a, z in runs for i in range(a, z)}
+    if chosen is marked:
+        best = max(own[a].mark[0] for a, _ in runs)
+        marks = {own[a].mark for a, _ in runs if own[a].mark[0] == best}
+        return "\n".join(x.text for x, g in zip(own, gone, strict=True) if not g and x.mark in marks)
+    homes = {own[a].home for a, _ in runs if own[a].home[0] not in ROOTS}
+    return "\n".join(x.text for i, (x, g) in enumerate(zip(own, gone, strict=True)) if not g and (i in kept or x.home in homes))
 
 
 def extract(pages: DataFrame) -> DataFrame:

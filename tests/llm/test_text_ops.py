@@ -54,9 +54,62 @@ def test_main_text_split_by_boilerplate():
     assert htmltext.main_text("<nav>m</nav>") == ""
 
 
+def test_main_text_without_marks_or_class_names():
+    words = lambda w, n: " ".join([w] * n)
+    menu = "".join(f"<li><a href=x>Menu entry {i}</a></li>" for i in range(30))
+    body = f"<div><ul>{menu}</ul></div><div><h1>Title</h1><p>{words('word', 60)}</p><p>short</p><p>see <a href=y>there</a></p></div><div><p>Imprint</p></div>"
+    want = "\n".join(("Title", words("word", 60), "short", "see there"))
+    assert htmltext.main_text(f"<body>{body}</body>") == want
+    assert htmltext.main_text(f"<form action=x><div><ul>{menu}</ul></div>{body}</form>") == want
+    # in the body itself: from surge to dive
+    assert htmltext.main_text(f"<body><ul>{menu}</ul><h1>Title</h1><p>{words('word', 60)}</p><p>short</p><ul>{menu}</ul></body>") == "\n".join(("Title", words("word", 60), "short"))
+
+
+def test_main_text_class_words_spare_paragraphs():
+    page = "<article><p class=ad-hoc>a</p><p class=share-price>b</p><p class=notice>c</p><div class=ad-hoc>d</div><div class=ad-slot>e</div><footer>f</footer><div class='related links'>g</div><p>h</p></article>"
+    assert htmltext.main_text(page) == "a\nb\nc\nd\nh"
+    assert htmltext.main_text("<form><nav>m</nav><article><p>in a form</p></article><div class=ad>x</div></form>") == "in a form"
+    assert htmltext.main_text("<p>one <svg><text>no</text></svg> two</p>") == "one two"
+
+
+def test_main_text_weighs_marks():
+    text = "text of the page " * 40
+    assert htmltext.main_text(f"<main><p>Loading</p></main><div><p>{text}</p></div>") == text.strip()
+    assert htmltext.main_text(f"<main><article><p>{text}</p></article><div><p>{'other part ' * 30}</p></div></main>") == text.strip()
+    assert htmltext.main_text(f"<main><p>{text}</p><article><p>teaser</p></article></main>") == text.strip()
+
+
+def test_main_text_of_very_long_pages():
+    deep = "<div>" * 20_000 + "<b>" * 20_000 + "<p>" + "word " * 100 + "</p>" + "</i>" * 20_000 + "</b>" * 20_000
+    assert htmltext.main_text(deep) == " ".join(["word"] * 100)
+    many = "".join(f"<p>{'w' * 50} {i}</p>" for i in range(50_000))
+    assert htmltext.main_text(many).count("\n") == 49_999 and len(htmltext.main_text("<p " + "a='" * 100_000)) == 0
+
+
+def plain_spans(weights, window, surge):
+    """Runs by looking at every line anew."""
+    n, out, i = len(weights), [], 0
+    block = lambda i: sum(weights[i : i + window])
+    while i < n:
+        if block(i) >= max(1, surge):
+            run = []
+            while i < n and (block(i) or weights[i]):
+                run.append(i)
+                i += 1
+            heavy = [k for k in run if weights[k]]
+            out.append((heavy[0], heavy[-1] + 1))
+        else:
+            i += 1
+    return out
+
+
 def test_surge_and_dive():
-    lengths = np.array([5, 0, 90, 3, 100, 0, 4, 0, 30, 30, 30])
-    assert htmltext.spans(lengths) == [(2, 5), (8, 11)] and htmltext.spans(np.array([], int)) == []
+    assert htmltext.spans([5, 0, 0, 0, 90, 3, 100, 0, 0, 0, 4, 0, 30, 30, 30]) == [(4, 7), (12, 15)] and htmltext.spans([]) == []
+    r = random.Random(9)
+    for _ in range(3000):
+        weights = [r.choice([0, 0, 0, 1, 10, 40, 90]) for _ in range(r.randint(0, 25))]
+        for window, surge in ((3, 80), (1, 40), (4, 1)):
+            assert htmltext.spans(weights, window, surge) == plain_spans(weights, window, surge), (weights, window, surge)
 
 
 def test_language(spark):
