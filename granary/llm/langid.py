@@ -1,6 +1,7 @@
 """Language identification with words first and character n-grams behind them.
 
-A model has, for each language, log frequencies of words and of character n-grams of 1 to 5 letters (word ends marked).
+A word is a run of letters (Unicode categories L*), in lower case. A model has, for each language, log frequencies of words
+and of character n-grams of 1 to 5 letters of ``^word$``, whose ends are marked; every length is a distribution of its own.
 A text is scored word by word: a known word by its log frequencies, an unknown one by its n-grams of the longest length of
 which the model knows any, else of the next shorter length. The language with the largest sum wins; ties go to the language
 with more training documents, then to the smaller name.
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
@@ -30,13 +33,31 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import put, small_batches
+from granary.llm.common import cut, put, small_batches
 
 TRAIN_DOCS = 3000
 LONGEST = 5
 NONE = "und"
 CACHE = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Places of a long word whose n-grams are made at once.
+STRIDE = 4096
+_ALNUM = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _numerals() -> dict[int, str]:
+    """Signs such as one half or Roman eight, which Python's \\w has and letters have not, as gaps."""
+    return {i: " " for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Nl", "No")}
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    text = text.lower()
+    if not text.isascii():
+        gaps = _numerals()
+        if any(ord(c) in gaps for c in set(text)):
+            text = text.translate(gaps)
+    return _ALNUM.findall(text)
 
 
 def _sample(rows: DataFrame, counts: dict[str, int], key: Column) -> DataFrame:
@@ -54,18 +75,18 @@ def fit(docs: DataFrame, learn: Column, key: Column) -> dict[str, Any]:
         return {"langs": []}
     tokens = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
     met = _sample(rows, counts, key).select("lang", tokens.alias("word")).where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    met = met.persist()
-    marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    lengths = F.sequence(F.lit(1), F.lit(LONGEST))
-    places = lambda k: F.sequence(F.lit(1), F.greatest(F.length(marked) - k + 1, F.lit(1)))
-    grams = F.flatten(F.transform(lengths, lambda k: F.transform(places(k), lambda i: F.substr(marked, i, k))))
-    by_gram = met.where(F.length("word") <= 64).select("lang", F.explode(grams).alias("entry"), "n")
-    # a length of n-grams is a distribution of its own, as are words (length 0)
+    met = cut(met, "words")
+    marked, size = F.concat(F.lit("^"), F.col("word"), F.lit("$")), F.length("word") + 2
+    # a long word is cut at every STRIDE places, so that no row holds more than their n-grams
+    strides = met.select("lang", "n", marked.alias("marked"), size.alias("size"), F.explode(F.sequence(F.lit(1), size, F.lit(STRIDE))).alias("at"))
+    end = lambda k: F.least(F.col("at") + STRIDE - 1, F.col("size") - k + 1)
+    one = lambda k: F.when(end(k) >= F.col("at"), F.transform(F.sequence(F.col("at"), end(k)), lambda i: F.substr(F.substr("marked", F.col("at"), F.lit(STRIDE + LONGEST)), i - F.col("at") + 1, k))).otherwise(F.array().cast("array<string>"))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), one))
+    by_gram = strides.select("lang", F.explode(grams).alias("entry"), "n").where(~F.col("entry").isin("^", "$"))
+    # words are of length 0
     every = by_gram.select(F.length("entry").alias("k"), "entry", "lang", "n").unionByName(met.select(F.lit(0).alias("k"), F.col("word").alias("entry"), "lang", "n"))
     by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)]
-    path = put(every.groupBy("k", "entry").agg(*by_lang), "model")
-    met.unpersist()
-    return {"langs": langs, "path": path}
+    return {"langs": langs, "path": put(every.groupBy("k", "entry").agg(*by_lang), "model")}
 
 
 def read(model: dict[str, Any], k: int) -> tuple[list[str], np.ndarray]:
@@ -100,7 +121,7 @@ class Identifier:
         marked = f"^{word}$"
         for k in range(LONGEST, 0, -1):
             entries, logs = self.grams[k]
-            met = [g for g in (marked[i : i + k] for i in range(max(1, len(marked) - k + 1))) if len(g) == k and g not in "^$"]
+            met = [g for g in (marked[i : i + k] for i in range(len(marked) - k + 1)) if g not in "^$"]
             if met and len(entries):
                 met = np.array(met, entries.dtype)
                 at = np.minimum(np.searchsorted(entries, met), len(entries) - 1)
@@ -110,7 +131,7 @@ class Identifier:
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = _LETTERS.findall(text.lower()) if text else []
+        found = words_of(text) if text else []
         if not found or not self.langs:
             return NONE, 0.0
         if len(self.index) + len(found) > len(self.matrix):

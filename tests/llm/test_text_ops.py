@@ -124,7 +124,7 @@ def test_language_of_hard_texts(spark):
     rows = [(i, t, None if i == 5 else "xx" if i % 2 else "yy", 0.5) for i, t in enumerate(HARD)] + [(None, "word", "xx", 0.5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score double")
     got = langid.identify(df).collect()
-    letters = {r[0]: bool(r[1]) and any(c.isalpha() for c in r[1]) for r in rows}
+    letters = {r[0]: bool(r[1]) and any(c.isalpha() for c in r[1]) for r in rows}  # isalpha is category L
     assert len(got) == len(rows) and all((r["lang_pred"] in ("xx", "yy")) == letters[r["doc_id"]] for r in got)
     assert {r["lang_pred"] for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify(df.limit(0)).collect() == []
@@ -139,6 +139,54 @@ def test_language_keeps_words_of_rare_languages(spark):
     assert own.predict("spoken")[0] == "rare" and own.predict("qspokenq")[0] == "rare" and own.predict(rows[0][1])[0] == "big"
 
 
+def plain_language(rows, text):
+    """Scores a text by counting all words and n-grams of the labelled rows anew."""
+    import unicodedata
+    from collections import Counter, defaultdict
+
+    letters = lambda t: "".join(c if unicodedata.category(c)[0] == "L" else " " for c in t.lower()).split()
+    docs = Counter(lang for _, lang in rows)
+    langs = sorted(docs, key=lambda x: (-docs[x], x))
+    counts = defaultdict(lambda: defaultdict(Counter))
+    for t, lang in rows:
+        for w in letters(t):
+            counts[0][w][lang] += 1
+            m = f"^{w}$"
+            for k in range(1, 6):
+                for g in (m[i : i + k] for i in range(len(m) - k + 1)):
+                    if g not in "^$":
+                        counts[k][g][lang] += 1
+    size = {(k, x): sum(c[x] + 0.5 for c in counts[k].values()) for k in counts for x in langs}
+    log = lambda k, e, x: np.log((counts[k][e][x] + 0.5) / size[k, x])
+    total, found = dict.fromkeys(langs, 0.0), letters(text or "")
+    for w in found:
+        m = f"^{w}$"
+        for k in (0, 5, 4, 3, 2, 1):
+            known = [e for e in ([w] if k == 0 else [m[i : i + k] for i in range(len(m) - k + 1)]) if e in counts[k]]
+            if known:
+                for x in langs:
+                    total[x] += np.mean([log(k, e, x) for e in known])
+                break
+    if not found:
+        return "und", 0.0
+    best = max(langs, key=lambda x: total[x])
+    return best, 1 / sum(np.exp((total[x] - total[best]) / len(found) ** 0.5) for x in langs)
+
+
+def test_language_by_brute_force(spark):
+    r = random.Random(4)
+    word = lambda a: "".join(r.choice(a) for _ in range(r.randint(1, 7)))
+    alphabets = {"aa": "abcdeß", "bb": "defghé", "cc": "ghiaяж"}
+    rows = [(" ".join(word(alphabets[x]) for _ in range(30)), x) for x in ("aa", "aa", "bb", "bb", "bb", "cc") for _ in range(4)] + [("½ Ⅷ x" + "z" * 9000 + "ab", "cc"), ("tie", "aa"), ("tie", "bb")]
+    model = langid.fit(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id bigint, text string, lang string"), F.lit(True), F.col("doc_id"))
+    own = langid.Identifier(model)
+    asked = HARD + ["½", "² ①", "Ⅷ", "½a", "tie", "z" * 5000, "xzab", "QWV", "д"] + [" ".join(word("".join(alphabets.values())) for _ in range(r.randint(1, 40))) for _ in range(60)]
+    for t in asked:
+        (a, x), (b, y) = own.predict(t), plain_language(rows, t)
+        assert a == b and abs(x - y) < 1e-9, (t, a, x, b, y)
+    assert own.predict("½")[0] == own.predict("² ① Ⅷ")[0] == "und" and own.predict("word " * 300_000)[0] in alphabets
+
+
 @pytest.fixture(scope="module")
 def texts():
     return HARD + [r[0] for r in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet' LIMIT 40").fetchall()]
