@@ -18,12 +18,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WRITTEN: list[str] = []
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables of this driver; results not yet written out can't be read after that."""
-    for path in _WRITTEN:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _WRITTEN.clear()
+def written() -> int:
+    """How many scratch tables this driver has written."""
+    return len(_WRITTEN)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> None:
+    """Deletes the scratch tables written after the first ``since``, except some; results that read them must be written out by then."""
+    for path in _WRITTEN[since:]:
+        if path not in but:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if p in but]
 
 
 def put(df: DataFrame, name: str) -> str:

@@ -6,11 +6,14 @@ the weight of a shingle is the number of its occurrences.
 
 1. A window so similar lacks at most 20 % of an item's shingles, so of each item's rarest shingles just over 20 % serve as
    anchors: every such window holds one. Anchors are looked up in all documents at once (by broadcast up to
-   ``BROADCAST_ROWS``, by shuffle beyond), and open every window that holds them. Windows with
-   too few of the item's shingles, counted exactly, for the similarity to be reached are dropped at once.
-2. Windows and items get SimHash fingerprints of 64 bits. Within ``RADIUS`` of an item's fingerprint at least one of
-   ``RADIUS + 1`` blocks of bits is the same in both, so block agreement, then the population count, drop the rest.
-   At the threshold 64 bits differ in 9.7 places, give or take 2.9; the radius is five deviations wide.
+   ``BROADCAST_ROWS``, by shuffle beyond) and tell which windows of an item's size are cut at all; of these, ones with too few of
+   the item's shingles, counted exactly, are left out. This is exact and only there because windows at every place of every
+   document, in every size, could not be fingerprinted.
+2. Windows and items get SimHash fingerprints of ``BITS`` bits; windows of equal words share one. A multi-index finds the items
+   for a window: fingerprints fall into ``BLOCKS`` blocks, and of two within ``RADIUS`` bits at least one block differs in
+   ``PROBE`` bits or fewer, so each item is posted under every value within ``PROBE`` bits of each of its blocks, and windows are
+   joined to items of their size by (block, value). The population count of the XOR then holds all 256 bits to the radius.
+   At the threshold 38.9 bits differ, give or take 5.7; the radius is 4.5 deviations wide.
 3. What is left is decided on the shingles themselves, by integers.
 
 Defined results: null and empty texts are clean; an item of fewer than ``K`` words is one shingle of all its words, and an
@@ -23,15 +26,19 @@ have none, each is judged, and the number (null too) is reported once, with the
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import cut
 
-K, PERCENT, RADIUS, BITS = 5, 80, 24, 64
-#: More anchors than this are joined by shuffle.
+K, PERCENT = 5, 80
+BITS, RADIUS, BLOCKS, PROBE = 256, 65, 22, 2
+#: More anchors, or links between windows and items, than this are joined by shuffle; so are more than five times as many postings.
 BROADCAST_ROWS = 200_000
+#: Where the blocks of a fingerprint begin and end; none crosses two of its 64-bit words.
+EDGES = [(w * 64 + lo, w * 64 + hi) for w, n in enumerate((6, 6, 5, 5)) for lo, hi in [(round(i * 64 / n), round((i + 1) * 64 / n)) for i in range(n)]]
 
 
 def _words(text: Column) -> Column:
@@ -60,25 +67,72 @@ def _counted(shingles: Column) -> Column:
     return _let(shingles, count)
 
 
-def _simhash(elements: Column) -> Column:
-    """Bit b is set where more elements have it than not."""
-    bits = F.sequence(F.lit(0), F.lit(BITS - 1))
-    votes = F.aggregate(elements, F.array_repeat(F.lit(0), BITS), lambda acc, h: F.zip_with(acc, bits, lambda a, b: a + F.when(F.getbit(h, b) == 1, 1).otherwise(-1)))
-    return F.aggregate(F.arrays_zip(votes.alias("v"), bits.alias("b")), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.when(x["v"] > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), x["b"])).otherwise(F.lit(0).cast("bigint"))))
+def _simhash(elements: Column, most: int) -> Column:
+    """Words of 64 bits; a bit is set where more elements have it than not. ``most``: no array has more elements.
 
+    The 64 bits of a word are counted side by side: slice i of the counter holds bit i of all 64 counts, and an element is
+    added by carrying it through the slices.
+    """
+    zero, ones = F.lit(0).cast("bigint"), F.lit(-1).cast("bigint")
+    slices = max(1, most.bit_length())
+
+    def word(seed: int) -> Column:
+        def add(acc: Column, h: Column) -> Column:
+            out, carry = [], h
+            for i in range(slices):
+                out.append(acc[f"s{i}"].bitwiseXOR(carry).alias(f"s{i}"))
+                carry = acc[f"s{i}"].bitwiseAND(carry)
+            return F.struct(*out)
+
+        def above_half(acc: Column) -> Column:
+            above, same = zero, ones
+            for i in reversed(range(slices)):
+                # all 64 counts are compared with half of the elements, bit by bit from the top
+                half = -F.call_function("shiftright", F.call_function("shiftright", F.size(elements).cast("bigint"), F.lit(1)), F.lit(i)).bitwiseAND(F.lit(1).cast("bigint"))
+                above = above.bitwiseOR(same.bitwiseAND(acc[f"s{i}"]).bitwiseAND(F.bitwise_not(half)))
+                same = same.bitwiseAND(F.bitwise_not(acc[f"s{i}"].bitwiseXOR(half)))
+            return above
+
+        seeded = F.transform(elements, lambda h: F.xxhash64(h, F.lit(seed)))
+        return F.aggregate(seeded, F.struct(*[zero.alias(f"s{i}") for i in range(slices)]), add, above_half)
 
-def _fingerprinted(df: DataFrame, shingles: str, elements: str, fp: str) -> DataFrame:
+    return F.array(*[word(100 + i) for i in range(BITS // 64)])
+
+
+def _fingerprinted(df: DataFrame, shingles: str, elements: str, fp: str, most: int) -> DataFrame:
     """``df`` with the elements and the fingerprint of a column of shingles, written down: each is used many times."""
     counted = cut(df.withColumn(elements, _counted(F.col(shingles))), elements)
-    return cut(counted.withColumn(fp, _simhash(F.col(elements))), fp)
+    return cut(counted.withColumn(fp, _simhash(F.col(elements), most)), fp)
+
+
+def _blocks(fp: str) -> Column:
+    """The blocks of a fingerprint, as structs of number, value and width."""
+
+    def one(b: int, lo: int, hi: int) -> Column:
+        down = F.call_function("shiftrightunsigned", F.col(fp)[lo // 64], F.lit(lo % 64)).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint"))
+        return F.struct(F.lit(b).alias("b"), down.alias("v"), F.lit(hi - lo).alias("wide"))
+
+    return F.array(*[one(b, lo, hi) for b, (lo, hi) in enumerate(EDGES)])
+
+
+def _flips(wide: int) -> list[int]:
+    """All patterns of at most ``PROBE`` bits in so many."""
+    return [sum(1 << i for i in some) for n in range(PROBE + 1) for some in combinations(range(wide), n)]
+
+
+def _apart(a: str, b: str) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)])
 
 
-def _block_agrees(x: Column) -> Column:
-    """Whether the XOR of two fingerprints is zero in one of the blocks."""
-    edges = [round(i * BITS / (RADIUS + 1)) for i in range(RADIUS + 2)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    return reduce(lambda p, q: p | q, [x.bitwiseAND(F.lit(m).cast("bigint")) == 0 for m in signed])
+def propose(windows: DataFrame, items: DataFrame, small: bool) -> DataFrame:
+    """``windows`` (k, s, own_fp and others) with the item of every item (item, k, s, fp) of their size whose fingerprint is within the radius."""
+    widths = sorted({hi - lo for lo, hi in EDGES})
+    masks = reduce(lambda c, w: c.when(F.col("x.wide") == w, F.array(*[F.lit(m).cast("bigint") for m in _flips(w)])), widths[1:], F.when(F.col("x.wide") == widths[0], F.array(*[F.lit(m).cast("bigint") for m in _flips(widths[0])])))
+    posted = items.select("item", "k", "s", "fp", F.explode(_blocks("fp")).alias("x")).select("item", "k", "s", "fp", "x.b", "x.v", F.explode(masks).alias("mask"))
+    posted = posted.select("item", "k", "s", "fp", "b", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
+    asked = windows.withColumn("x", F.explode(_blocks("own_fp"))).select(*windows.columns, "x.b", "x.v")
+    met = asked.join(F.broadcast(posted) if small else posted, ["k", "s", "b", "v"]).where(_apart("own_fp", "fp") <= RADIUS)
+    return met.select("k", "s", "wid", "item").distinct()
 
 
 def _named(benchmark: DataFrame) -> DataFrame:
@@ -88,17 +142,18 @@ def _named(benchmark: DataFrame) -> DataFrame:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item (a hash of its words), k (its shingle width), m (words), shingles, elements and fp of items that have words, once each."""
+    """item (a hash of its words), k (its shingle width), m (words), s (shingles), these, elements and fp of items that have words, once each."""
     hashed = _named(benchmark).dropDuplicates(["item"])
     k = F.least(F.size("w"), F.lit(K))
     own = F.when(F.size("w") >= K, _shingles(F.col("w"), K)).otherwise(F.array(F.xxhash64("w")))
-    out = hashed.select("item", k.alias("k"), F.size("w").alias("m"), own.alias("shingles"))
-    return _fingerprinted(out, "shingles", "elements", "fp")
+    out = hashed.select("item", k.alias("k"), F.size("w").alias("m"), own.alias("shingles")).withColumn("s", F.size("shingles"))
+    most = out.agg(F.max("s")).first()[0] or 0
+    return _fingerprinted(out, "shingles", "elements", "fp", most)
 
 
 def _anchors(items: DataFrame) -> DataFrame:
     """k, sh, item, s: of each item the rarest shingles that together outweigh what a similar window may lack."""
-    placed = items.select("item", "k", "m", F.size("shingles").alias("s"), F.posexplode("shingles").alias("off", "sh"))
+    placed = items.select("item", "k", "m", "s", F.posexplode("shingles").alias("off", "sh"))
     common = placed.groupBy("k", "sh").agg(F.count_distinct("item").alias("df"))
     rare = Window.partitionBy("item", "k", "m").orderBy("df", "sh", "off")
     ranked = placed.join(common, ["k", "sh"]).withColumn("rank", F.row_number().over(rare) - 1)
@@ -140,17 +195,17 @@ def _starts() -> Column:
 
 
 def _opened(hits: DataFrame, items: DataFrame, small: bool) -> DataFrame:
-    """The windows of hits (item, s, n, pos, base, region), each once."""
+    """The windows of hits (item, k, s, n, pos, base, region): their size, words and a hash of these."""
     own = items.select("item", "shingles", "anchors")
     seen = hits.join(F.broadcast(own) if small else own, "item").withColumn("at", F.explode(_starts()))
-    return seen.select("doc_id", "text_hash", "item", (F.col("base") + F.col("at")).alias("start"), F.slice("region", F.col("at") + 1, F.col("s")).alias("window"))
+    return seen.select("doc_id", "text_hash", "k", "s", F.slice("region", F.col("at") + 1, F.col("s")).alias("window")).withColumn("wid", F.xxhash64("window"))
 
 
 def _near(docs: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """Hits with their regions, by a broadcast of the anchors: they are sliced where the text lies, and nothing else is moved."""
     spread = _hashed(docs, k).select("doc_id", "text_hash", "all", F.size("all").alias("n"), F.posexplode("all").alias("pos", "sh"))
     hits = spread.join(F.broadcast(anchors.where(F.col("k") == k)), "sh")
-    return hits.select("doc_id", "text_hash", "item", "s", "n", "pos", *_region())
+    return hits.select("doc_id", "text_hash", "item", F.lit(k).alias("k"), "s", "n", "pos", *_region())
 
 
 def _far(docs: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
@@ -163,7 +218,7 @@ def _far(docs: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     held = own.join(places, own["doc_id"].eqNullSafe(F.col("id")) & (own["text_hash"] == F.col("hash"))).select("doc_id", "text", "places")
     again = cut(held, "held").select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode("places").alias("x"), _shingles(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)), k).alias("all"))
-    return again.select("doc_id", "text_hash", "x.item", "x.s", "x.pos", "all", F.size("all").alias("n")).select("doc_id", "text_hash", "item", "s", "n", "pos", *_region())
+    return again.select("doc_id", "text_hash", "x.item", "x.s", "x.pos", "all", F.size("all").alias("n")).select("doc_id", "text_hash", "item", F.lit(k).alias("k"), "s", "n", "pos", *_region())
 
 
 def find(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -178,16 +233,20 @@ def find(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("double").alias("similarity")).where(F.lit(False))
     hits = reduce(DataFrame.unionByName, [(_near if small else _far)(docs, anchors, k) for k in widths])
     held = anchors.groupBy("item").agg(F.collect_set("sh").alias("anchors"))
-    opened = _opened(hits, items.join(held, "item"), small)
-    windows = opened.groupBy("doc_id", "text_hash", "item", "start").agg(F.first("window").alias("window"))
-    marked = _fingerprinted(windows, "window", "mine", "own_fp")
-    known = items.select("item", "elements", "fp")
-    met = marked.join(F.broadcast(known) if small else known, "item")
-    apart = F.col("own_fp").bitwiseXOR(F.col("fp"))
-    near = met.where(_block_agrees(apart) & (F.bit_count(apart) <= RADIUS))
+    opened = cut(_opened(hits, items.join(held, "item"), small), "opened")
+    windows = opened.groupBy("k", "s", "wid").agg(F.first("window").alias("window"))
+    marked = _fingerprinted(windows, "window", "mine", "own_fp", items.agg(F.max("s")).first()[0])
+    postings = items.count() * sum(len(_flips(hi - lo)) for lo, hi in EDGES)
+    pairs = propose(marked.select("k", "s", "wid", "own_fp"), items, postings <= 5 * broadcast_rows)
+    known = items.select("item", "elements")
+    near = pairs.join(marked.select("k", "s", "wid", "mine"), ["k", "s", "wid"]).join(F.broadcast(known) if small else known, "item")
     common = F.size(F.array_intersect("mine", "elements"))
     union = F.size("mine") + F.size("elements") - common
-    sure = near.select("doc_id", "text_hash", "item", common.alias("common"), union.alias("union")).where(F.col("common") * 100 >= F.col("union") * PERCENT)
+    sure = near.select("k", "s", "wid", "item", common.alias("common"), union.alias("union")).where(F.col("common") * 100 >= F.col("union") * PERCENT)
+    sure = cut(sure, "sure")
+    few = sure.count() <= broadcast_rows
+    places = opened.select("doc_id", "text_hash", "k", "s", "wid").distinct()
+    sure = places.join(F.broadcast(sure) if few else sure, ["k", "s", "wid"])
     names = _named(benchmark).select("item", "item_id").distinct()
     told = sure.join(F.broadcast(names) if small else names, "item")
     return told.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.col("common") / F.col("union")).alias("similarity"))

@@ -260,6 +260,46 @@ def test_decontamination_of_items_that_share_numbers(spark, rows_by_broadcast):
         assert {x["doc_id"] for x in decontam.clean(docs, bench).collect()} == {5}
 
 
+def plain_fingerprint(spark, elements):
+    seed = lambda i: F.transform("e", lambda h: F.xxhash64(h, F.lit(100 + i)))
+    seeded = spark.createDataFrame([(elements,)], "e array<bigint>").select(*map(seed, range(4))).first()
+    out = []
+    for word in seeded:
+        n = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in word) > len(word))
+        out.append(n - (1 << 64) * (n >> 63))
+    return out
+
+
+def test_fingerprints(spark):
+    r = random.Random(3)
+    for n in (1, 2, 3, 7, 8, 36, 100):
+        some = [r.getrandbits(64) - (1 << 63) for _ in range(n)]
+        got = spark.createDataFrame([(some,)], "e array<bigint>").select(decontam._simhash(F.col("e"), 100)).first()[0]
+        assert got == plain_fingerprint(spark, some)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_index_finds_all_within_the_radius(spark, small):
+    r = random.Random(5)
+    signed = lambda x: [(x >> 64 * i & (1 << 64) - 1) - (1 << 64) * (x >> 64 * i + 63 & 1) for i in range(4)]
+    items = [r.getrandbits(256) for _ in range(12)]
+    asked = [(x ^ sum(1 << b for b in r.sample(range(256), n)), i) for i, x in enumerate(items) for n in (0, 1, 30, 64, 65, 66, 80)] + [(r.getrandbits(256), -1) for _ in range(50)]
+    windows = spark.createDataFrame([(5, 30, i, signed(x)) for i, (x, _) in enumerate(asked)] + [(5, 31, 900, signed(items[0]))], "k int, s int, wid bigint, own_fp array<bigint>")
+    known = spark.createDataFrame([(i, 5, 30, signed(x)) for i, x in enumerate(items)], "item bigint, k int, s int, fp array<bigint>")
+    got = {(x["wid"], x["item"]) for x in decontam.propose(windows, known, small).collect()}
+    assert got == {(i, j) for i, (x, _) in enumerate(asked) for j, y in enumerate(items) if (x ^ y).bit_count() <= decontam.RADIUS}
+    assert decontam.EDGES[0][0] == 0 and decontam.EDGES[-1][1] == 256 and len(decontam.EDGES) == decontam.BLOCKS and (decontam.PROBE + 1) * decontam.BLOCKS > decontam.RADIUS
+
+
+def test_decontamination_of_very_long_texts(spark):
+    r = random.Random(13)
+    some = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    item = some(50)
+    docs = spark.createDataFrame([(1, " ".join(some(60_000) + item + some(60_000))), (2, " ".join(some(100_000))), (3, "x" * 500_000)], "doc_id bigint, text string")
+    got = decontam.report(docs, spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string"))
+    assert {x["doc_id"]: x["item_id"] for x in got.collect()} == {1: 7, 2: None, 3: None}
+
+
 def plain_targets(sizes, weights=(5, 2, 1), cap=3):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
