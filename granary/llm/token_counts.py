@@ -3,7 +3,8 @@
 For a pre-token ``w`` the last token of the encoding of every prefix ``w[:i]`` is found from shorter prefixes:
 it is the one vocabulary entry ``t`` that ends at ``i`` and may follow the last token of ``w[:i - len(t)]``, which is
 so when encoding the two together gives the two back.  The count at ``i`` is then one more than at ``i - len(t)``.
-A text's counts are the sums over its pre-tokens, so any prefix and any budget is answered without encoding again.
+A text's counts are the sums over its pre-tokens.  ``PrefixTable`` stores the count at every prefix of a text, so truncation
+is a lookup and a budget a binary search; ``token_counts`` needs it only for the part in which a text meets its limit.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each; other columns stay away
 from the result unless asked for with ``keep``; texts may be of any length (work is linear in it).
@@ -15,7 +16,10 @@ import functools
 import json
 import os
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +31,12 @@ CACHE = 500_000
 PAIR_CACHE = 500_000
 _RUN = re.compile(r"\s\s")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
+#: White space for Python, not for the tokenizers library.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
+
+
+def _blank(text: str) -> bool:
+    return text.isspace() and not any(c in text for c in _NO_SPACE)
 
 
 def _byte_chars() -> dict[str, int]:
@@ -122,17 +132,70 @@ class PrefixCounter:
 
     def counts(self, texts: list[str]) -> list[int]:
         """The number of tokens of each whole text."""
+        return [n for n, _ in self.fits(texts)]
+
+    def fits(self, texts: list[str], limit: int | None = None) -> list[tuple[int, int]]:
+        """The number of tokens of each whole text, and the most characters of a prefix with at most ``limit`` tokens."""
         parts = [self.cuts(t) if t else [] for t in texts]
         now = self.learn({c for cs in parts for c in cs if c not in self.chunks})
         if len(self.chunks) + len(now) > CACHE:
             now |= {c: self.chunks[c] for cs in parts for c in cs if c in self.chunks}
             self.chunks = {}
         self.chunks |= now
-        out = [sum(map(self.chunks.__getitem__, cs)) for cs in parts]
+        out = []
+        for t, cs in zip(texts, parts, strict=True):
+            n = sum(map(self.chunks.__getitem__, cs))
+            out.append((n, len(t) if limit is None or n <= limit else self._fit(cs, limit)))
         if len(self.chunks) > CACHE:
             self.chunks = {}
         return out
 
+    def _fit(self, parts: list[str], limit: int) -> int:
+        """The most characters with at most ``limit`` tokens of a text that has more: the part that reaches the limit decides."""
+        upto = list(accumulate(map(self.chunks.__getitem__, islice((c for c in parts if c), limit + 1))))
+        some = [c for c in islice((c for c in parts if c), limit + 1)]
+        k = bisect_left(upto, limit)
+        chars = sum(map(len, some[:k]))
+        if upto[k] == limit:
+            return chars + len(some[k])
+        room = limit - (upto[k - 1] if k else 0)
+        counts = self.chunk_prefixes(some[k])
+        return chars + max(i for i, n in enumerate(counts) if n <= room)
+
+    def _plain_prefixes(self, text: str) -> list[int]:
+        """Counts of all prefixes of a text without special strings, by character."""
+        out, base, before, last = [0], 0, 0, ""
+        for piece in self.pieces(text):
+            s, table = piece.decode(), self.prefixes(piece)[1]
+            at, ends = 0, []
+            for c in s:
+                at += len(c.encode())
+                ends.append(at)
+            counts = [base + table[e] for e in ends]
+            if len(s) > 1 and s[0] == "'" and s[1:].isalpha():
+                # cut short, an apostrophe and letters are two pre-tokens
+                letters = self.prefixes(s[1:].encode())[1]
+                counts[1:-1] = [base + table[1] + letters[e - 1] for e in ends[1:-1]]
+            if last and _blank(last) and _blank(s[0]):
+                # white space is one pre-token until something follows it
+                counts[0] = before + self.prefixes((last + s[0]).encode())[1][-1]
+            out += counts
+            before, base, last = base, base + table[-1], s
+        return out
+
+    def chunk_prefixes(self, chunk: str) -> list[int]:
+        """Counts of all prefixes of a chunk, by character."""
+        if not self.special or "<" not in chunk:
+            return self._plain_prefixes(chunk)
+        out, base, at = [0], 0, 0
+        for m in self.special.finditer(chunk):
+            # the beginning of a special string is plain text still
+            plain = self._plain_prefixes(chunk[at : m.end() - 1])
+            out += [base + n for n in plain[1:]]
+            base, at = base + plain[m.start() - at] + 1, m.end()
+            out.append(base)
+        return out + [base + n for n in self._plain_prefixes(chunk[at:])[1:]]
+
     def count(self, text: str) -> int:
         return self.counts([text])[0]
 
@@ -150,30 +213,24 @@ class PrefixTable:
     """Exact counts of every prefix of one text, by character offset."""
 
     def __init__(self, counter: PrefixCounter, text: str):
-        self.counter, self.text = counter, text
-        self.starts, self.before, at, n = [], [], 0, 0
-        for chunk in counter.cuts(text):
-            self.starts.append(at)
-            self.before.append(n)
-            at, n = at + len(chunk), n + counter.count(chunk)
-        self.total = n
+        known: dict[str, list[int]] = {}
+        self.counts = array("q", [0])
+        for chunk in counter.cuts(text) if text else []:
+            if chunk not in known:
+                known[chunk] = counter.chunk_prefixes(chunk)
+            base = self.counts[-1]
+            self.counts.extend(base + n for n in known[chunk][1:])
+        self.total = self.counts[-1]
+        # the least count of this or a longer prefix, which never falls
+        self._least = array("q", list(accumulate(reversed(self.counts), min))[::-1])
 
     def at(self, chars: int) -> int:
-        """Tokens of ``text[:chars]``: whole parts before it are looked up, the part cut by it is counted by its prefixes."""
-        from bisect import bisect_right
-
-        k = max(0, bisect_right(self.starts, chars) - 1)
-        return self.before[k] + self.counter.count(self.text[self.starts[k] : chars])
+        """Tokens of ``text[:chars]``."""
+        return self.counts[min(chars, len(self.counts) - 1)]
 
     def fit(self, budget: int) -> int:
         """The most characters of a prefix with at most ``budget`` tokens."""
-        from bisect import bisect_right
-
-        if self.total <= budget:
-            return len(self.text)
-        k = max(0, bisect_right(self.before, budget) - 1)
-        end = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)
-        return next((i for i in range(end, self.starts[k], -1) if self.at(i) <= budget), self.starts[k])
+        return max(0, bisect_right(self._least, budget) - 1)
 
 
 @functools.lru_cache(maxsize=4)
@@ -182,7 +239,7 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 512) -> DataFrame:
-    """``keep``, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) for each row; no shuffle."""
+    """``keep``, n_bytes, n_tokens, over_limit (more than ``limit`` tokens) and fit_chars (of the longest prefix within the limit) for each row; no shuffle."""
     small_batches(docs.sparkSession)
     fields = [docs.schema[c] for c in keep]
 
@@ -190,9 +247,9 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
         own = counter(path)
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["__text"]]
-            n = own.counts(texts)
+            n, fit = zip(*own.fits(texts, limit), strict=True) if texts else ((), ())
             out = b.drop(columns="__text")
-            yield out.assign(n_bytes=[len(t.encode()) for t in texts], n_tokens=n, over_limit=[x > limit for x in n])
+            yield out.assign(n_bytes=[len(t.encode()) for t in texts], n_tokens=n, over_limit=[x > limit for x in n], fit_chars=fit)
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes bigint, n_tokens bigint, over_limit boolean"
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint"
     return docs.select(*keep, docs[text].alias("__text")).mapInPandas(count, out)

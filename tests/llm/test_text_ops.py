@@ -200,11 +200,17 @@ def test_token_counts(spark, texts):
     for r in token_counts.token_counts(df, path, limit=20).collect():
         t = texts[r["doc_id"]] or ""
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), plain(t), plain(t) > 20)
-    for t in filter(None, HARD):
+        assert r["fit_chars"] == (len(t) if plain(t) <= 20 else max(i for i in range(min(len(t), 400)) if plain(t[:i]) <= 20))
+    r = random.Random(7)
+    mixed = ["".join(r.choice(["a", "word", " ", "  ", "\n", "'", "'ll", "'re", "12", "!", "é", "日本", "<|endoftext|>", "<|endo", "\x1c", "\u0301", "\t "]) for _ in range(r.randint(1, 25))) for _ in range(150)]
+    for t in [*filter(None, HARD), *mixed]:
         table = own.table(t)
         counts = [plain(t[:i]) for i in range(len(t) + 1)]
-        assert [table.at(i) for i in range(len(t) + 1)] == counts
-        assert all(counts[table.fit(b)] <= b for b in (0, 1, 3, 10))
+        assert [table.at(i) for i in range(len(t) + 1)] == counts, t
+        for b in (0, 1, 3, 10):
+            assert table.fit(b) == max(i for i, n in enumerate(counts) if n <= b)
+            n, fit = own.fits([t], b)[0]
+            assert n == counts[-1] and fit == table.fit(b), (t, b)
     assert token_counts.token_counts(df.limit(0), path).collect() == []
 
 
