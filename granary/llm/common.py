@@ -64,3 +64,19 @@ def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), WORD_GAP)
     return F.filter(parts, lambda w: w != "")
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys of ``df`` with more than 1 / (4 P) of its rows (P shuffle partitions), so at most 4 P of them, and in how many salts to deal each."""
+    share = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    total = counted.agg(F.sum("__n")).first()[0] or 0
+    return counted.where(F.col("__n") * share > total).select(key, F.ceil(F.col("__n") * share / max(1, total)).cast("int").alias("__salts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread: Column, hot: DataFrame | None = None) -> DataFrame:
+    """``left`` with the row of ``right`` for its key, where there is one: hot keys are dealt by a hash of ``spread`` and their rows of ``right`` copied."""
+    hot = F.broadcast(hot_keys(left, key) if hot is None else hot)
+    dealt = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    copies = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")

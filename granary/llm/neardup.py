@@ -14,7 +14,11 @@ With bands of ``rows`` samples a link at the threshold is missed with a probabil
 threshold. Sketch range is five standard deviations wide.
 
 Defined results: a text without words, or null, has no shingles and stands alone; with fewer words than ``k`` all of them
-are one shingle; repeated rows are each reported; the rows of one document number are one member, whatever their texts.
+are one shingle; repeated rows are each reported. A row belongs to the component of its text: rows that share a number but
+not a text may be in several components, of which each is known by the smallest number in it (null if it has none).
+
+Skew: exact copies are one class before anything is joined; copies, members of a bucket and partners of one hub are dealt in
+salts where they are more than a share of the rows (``spread_join``).
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import cut, small_batches
+from granary.llm.common import cut, hot_keys, small_batches, spread_join
 
 BANDS, SKETCH, PARITY, ROUNDS = 40, 512, 1024, 3
 _GAPS = np.zeros(256, bool)
@@ -134,7 +138,7 @@ SIGNED = "text_hash bigint, cls bigint, n bigint, bands array<bigint>, sketch ar
 
 
 def signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
-    """doc_id, text_hash, and of the text's set: cls (64 bits that tell sets apart), n, band keys and odd sketch."""
+    """row (a number of its own), doc_id, text_hash, and of the text's set: cls (64 bits that tell sets apart), n, band keys and odd sketch."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +157,7 @@ def signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
             yield b.drop(columns="text").assign(cls=pd.array(cols[0], "Int64"), n=cols[1], bands=cols[2], sketch=cols[3], parity=cols[4])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, f"doc_id {kind}, {SIGNED}")
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, f"row bigint, doc_id {kind}, {SIGNED}")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -176,7 +180,7 @@ def _differing(a: str, b: str, bits: int) -> Column:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough."""
+    """Those pairs (a, b) whose full sets are similar enough. A class of many pairs has its set copied to the salts of these, not to one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -191,7 +195,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a bigint, b bigint")
+    pairs = cut(pairs, "pairs")
+    met = spread_join(spread_join(pairs, left, "a", F.col("b")), right, "b", F.col("a"), hot_keys(pairs, "b"))
+    return met.select("a", "b", "sa", "sb").mapInPandas(run, "a bigint, b bigint")
 
 
 def components(nodes: DataFrame, links: DataFrame, name: str = "label") -> DataFrame:
@@ -217,16 +223,20 @@ def _split(held: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, signed: DataFrame, k: int, threshold: int, rows: int) -> DataFrame:
     """cls and label (the component's smallest cls) of the classes that have any candidate."""
     reach = sketch_range(threshold, rows * BANDS)
-    posted = signed.where("n > 0").select("cls", F.explode("bands").alias("key"))
-    shared = posted.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("key")
-    members = cut(posted.join(shared, "key").distinct(), "members")
+    # one row of each class, which is told by its number, so that copies meet in no task
+    heads = signed.where("n > 0").groupBy("cls").agg(F.min("row").alias("row")).select("row")
+    classes = cut(signed.join(heads, "row", "left_semi"), "classes")
+    posted = classes.select("cls", F.explode("bands").alias("key"))
+    shared = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    members = cut(posted.join(shared, "key"), "members")
+    crowded = cut(hot_keys(members, "key"), "crowded")
     alive = members.select("cls").distinct()
-    met = signed.select("cls", "n", "sketch", "parity").join(alive, "cls")
-    small = cut(met.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "parity")]), "sketches")
-    # the text of one document of each class stands for its set
-    first = signed.join(alive, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    met = cut(classes.drop("bands").join(alive, "cls", "left_semi"), "sketches")
+    small = met.select("cls", "n", "sketch", "parity")
+    # the text of one document of each class stands for its set; rows may be repeated
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    texts = own.join(first, (own["text_hash"] == F.col("first.text_hash")) & own["doc_id"].eqNullSafe(F.col("first.doc_id")))
+    first = met.select("cls", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    texts = own.join(first, (own["text_hash"] == F.col("hash")) & own["doc_id"].eqNullSafe(F.col("id"))).select("cls", "text").dropDuplicates(["cls"])
     sets = cut(sets_of(texts, k), "sets")
     left = small.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("oa"), F.col("parity").alias("pa"))
     right = small.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("ob"), F.col("parity").alias("pb"))
@@ -239,9 +249,9 @@ def link_classes(docs: DataFrame, signed: DataFrame, k: int, threshold: int, row
         held = members.join(label, "cls")
         chance = F.xxhash64("cls", F.lit(turn))
         host = held.groupBy("key").agg(F.min_by(F.struct("cls", "label"), chance).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-        met = held.join(host, "key").where(F.col("label") != F.col("h.label"))
-        pairs = met.select("cls", F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
-        near = pairs.join(left, "a").join(right, "b").where(fits)
+        met = spread_join(held, host.select("key", "h"), "key", F.col("cls"), crowded).where(F.col("label") != F.col("h.label"))
+        pairs = cut(met.select("cls", F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct(), "met")
+        near = spread_join(spread_join(pairs, left, "a", F.col("b")), right, "b", F.col("a"), hot_keys(pairs, "b")).where(fits)
         if turn == 0:  # to begin with each member takes the closest host of its buckets: one link each brings most groups together
             near = near.groupBy("cls").agg(F.min_by(F.struct("a", "b"), F.struct(_differing("pa", "pb", PARITY), F.col("a"), F.col("b"))).alias("p")).select("p.*")
         near = near.select("a", "b").distinct()
@@ -280,6 +290,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     grouped = least.join(label, "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
     smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = grouped.join(smallest, "label").select("cls", "component_id")
-    out = signed.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(by_class, "cls", "left")
+    mine = signed.select("row", "doc_id", "cls", F.col("n").alias("n_shingles"))
+    found = spread_join(mine.where("cls IS NOT NULL"), by_class, "cls", F.col("row"))
+    out = found.unionByName(mine.where("cls IS NULL"), allowMissingColumns=True)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

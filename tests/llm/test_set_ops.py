@@ -178,6 +178,18 @@ def test_near_duplicates(spark, k, threshold):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string"), k, threshold).collect() == []
 
 
+def test_near_duplicates_of_crowds_and_shared_numbers(spark):
+    some = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    crowd = [(100 + i, some("c") + (f" end{i % 40}" if i % 2 else "")) for i in range(400)]
+    rows = [(7, some("a")), (7, some("b")), (3, some("b")), (None, some("d")), (None, some("d")), (9, some("a")), (8, None), (None, "")] + [(50, some("e"))] * 30 + crowd
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = {("a", 7): (7, True), ("b", 7): (3, False), ("b", 3): (3, True), ("a", 9): (7, False), ("d", None): (None, False), ("e", 50): (50, True)}
+    assert len(got) == len(rows) and Counter((x["doc_id"], x["component_id"], x["kept"]) for x in got if (x["doc_id"] or 0) < 100) == Counter(
+        [(i, *want[t[0], i]) for i, t in rows[:7] + rows[8:38] if t and (i or 0) < 100] + [(8, 8, True), (None, None, False)]
+    )
+    assert {(x["component_id"], x["kept"]) for x in got if (x["doc_id"] or 0) > 100} == {(100, False)}
+
+
 def contaminated(texts, items):
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     out = {}
