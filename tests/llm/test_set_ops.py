@@ -358,6 +358,25 @@ def test_mixture_of_large_cells(spark, monkeypatch):
         assert abs(t - n) <= 3, s
 
 
+def test_mixture_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "PART", 20)
+    r = random.Random(16)
+    rows = [(None if i % 3 == 0 else i, f"w{i} " * r.choice([1, 2, 3]), f"host{i * 7919 % 251}" if i % 4 else None) for i in range(2500)] + [(1, "word " * 200_000, "long")]
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(GAP.findall(t))
+    sources = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    want, got = plain_targets(sizes), mixture.targets(sources.repartition(7)).collect()
+    assert {x["source"] for x in got} == set(want) and all(abs(x["target"] - want[x["source"]]) < 1e-6 * max(1, want[x["source"]]) for x in got)
+    for x in mixture.rates(mixture.targets(sources)).collect():
+        assert abs(x["rate"] * x["source_size"] - x["target"]) < 1e-6 * max(1, x["target"])
+    mixed = mixture.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    got = mixed.collect()
+    assert len(got) == len(rows) and all(x["taken"] <= 3 * x["size"] for x in got)
+    whole = sum(x["taken"] for x in got if x["source_size"] == sizes[None])
+    assert abs(whole - want[None]) <= 3 and sum(x["taken"] > 0 for x in got if x["doc_id"] is None) > 100
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     own = docs.columns
