@@ -30,7 +30,6 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from granary.llm.common import small_batches
 
 WINDOW, SURGE, MARK = 3, 80, 8
 #: Fixed values of HTML: elements without text of their own, elements that never close, elements that stand as blocks.
@@ -281,7 +280,6 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page; no shuffle."""
-    small_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

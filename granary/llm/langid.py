@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import cut, put, small_batches
+from granary.llm.common import cut, put
 
 TRAIN_DOCS = 3000
 LONGEST = 5
@@ -162,7 +162,6 @@ def _loaded(langs: tuple[str, ...], path: str | None) -> Identifier:
 
 def predict(docs: DataFrame, model: dict[str, Any]) -> DataFrame:
     """``docs`` (text) with lang_pred and score; no shuffle, and only texts go to Python. Workers read the model from the shared folder."""
-    small_batches(docs.sparkSession)
     langs, path = tuple(model["langs"]), model.get("path")
 
     @F.pandas_udf("lang_pred string, score double")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import cut, hot_keys, small_batches, spread_join
+from granary.llm.common import cut, hot_keys, spread_join
 
 BANDS, SKETCH, PARITY, ROUNDS = 40, 512, 1024, 3
 _GAPS = np.zeros(256, bool)
@@ -139,7 +139,6 @@ SIGNED = "text_hash bigint, cls bigint, n bigint, bands array<bigint>, sketch ar
 
 def signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
     """row (a number of its own), doc_id, text_hash, and of the text's set: cls (64 bits that tell sets apart), n, band keys and odd sketch."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Sketcher(rows)

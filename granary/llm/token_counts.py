@@ -24,7 +24,8 @@ from itertools import accumulate, islice
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from granary.llm.common import small_batches
+from granary.llm.common import pieces
+
 
 #: Entries kept in a worker's caches before they are emptied: bounds its memory, not the result.
 CACHE = 500_000
@@ -240,12 +241,11 @@ def counter(path: str) -> PrefixCounter:
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 512) -> DataFrame:
     """``keep``, n_bytes, n_tokens, over_limit (more than ``limit`` tokens) and fit_chars (of the longest prefix within the limit) for each row; no shuffle."""
-    small_batches(docs.sparkSession)
     fields = [docs.schema[c] for c in keep]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = counter(path)
-        for b in batches:
+        for b in pieces(batches):
             texts = [t if isinstance(t, str) else "" for t in b["__text"]]
             n, fit = zip(*own.fits(texts, limit), strict=True) if texts else ((), ())
             out = b.drop(columns="__text")

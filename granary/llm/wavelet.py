@@ -1,11 +1,13 @@
 """Token-id output as wavelet matrices: one compressed file per shard, read back by rank and select.
 
 A shard holds the ids of consecutive documents.  Plane ``l`` has bit ``width - 1 - l`` of every id, in the order that a
-stable sort by the planes before it gives; ``zeros[l]`` counts its 0 bits.  Ranks are kept per block of 512 bits.  With
-that a shard answers ``access(i)``, ``rank(id, i)``, ``select(id, k)`` and ``count(id)`` without being decoded.
+stable sort by the planes before it gives; ``zeros[l]`` counts its 0 bits.  Planes are cut into blocks of ``BLOCK`` bits, and
+the file holds the rank before each.  With that a shard answers ``access(i)``, ``rank(id, i)``, ``select(id, k)`` and
+``count(id)`` from one or two blocks of each plane; no other is inflated.
 
-File format (little-endian): magic ``WVM1``, u32 width, u64 n ids, u64 n documents, u64 zeros per plane, then one zstd
-frame for the document lengths (u64 each) and one per plane (packed bits, first bit lowest), each led by its u64 size.
+File format (little-endian): magic ``WVM2``, u32 width, u64 n ids, u64 n documents, u64 zeros per plane; for each plane the
+u64 ranks before its blocks and after the last; the u32 sizes of the zstd frames, then these: one for the document lengths (u64
+each), and plane by plane one for each block (packed bits, first bit lowest).
 The shards of a table are the rows of a Parquet dataset, one payload a row, so any store that Spark writes to will do.
 
 Defined results: null text has no ids but the end id; documents are ordered by their number, null first, repeated
@@ -20,7 +22,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import filterfalse
 
 import numpy as np
@@ -29,39 +31,44 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import small_batches
+from granary.llm.common import pieces
 from granary.sources.shared import shared_dir
 
-MAGIC = b"WVM1"
-BLOCK = 512
+MAGIC = b"WVM2"
+BLOCK = 1 << 16
 #: A shard closes with the document that brings it to so many ids.
 SHARD_IDS = 1 << 20
 CACHE = 800_000
 
 
 class WaveletMatrix:
-    """Bit-planes of a sequence of non-negative ids, with rank support."""
+    """Bit-planes of a sequence of non-negative ids in blocks, with the ranks before these; ``block(level, c)`` gives a block's bytes."""
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int):
-        self.planes, self.zeros, self.n, self.width = planes, zeros, n, len(planes)
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, block: Callable[[int, int], np.ndarray], ranks: list[np.ndarray], zeros: list[int], n: int):
+        self.block, self.ranks, self.zeros, self.n, self.width = block, ranks, zeros, n, len(zeros)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
         n, width = len(ids), max(1, int(ids.max(initial=0)).bit_length())
         now = ids.astype(np.uint16 if width <= 16 else np.uint32)
-        planes, zeros = [], []
+        planes, zeros, ranks = [], [], []
         for level in range(width):
             bit = (now >> now.dtype.type(width - 1 - level)) & now.dtype.type(1)
-            ones = bit.view(bool) if bit.dtype == np.uint8 else bit.astype(bool)
+            ones = bit.astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
+            ranks.append(np.concatenate(([0], np.cumsum([np.count_nonzero(ones[a : a + BLOCK]) for a in range(0, n, BLOCK)], dtype=np.int64))))
             low = now[~ones]
             zeros.append(len(low))
             now = np.concatenate((low, now[ones]))
-        return cls(planes, zeros, n)
+        return cls(lambda level, c: planes[level][c * BLOCK // 8 : (c + 1) * BLOCK // 8], ranks, zeros, n)
+
+    @property
+    def blocks(self) -> int:
+        return -(-self.n // BLOCK)
 
     def bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+        whole = np.concatenate([self.block(level, c) for c in range(self.blocks)]) if self.n else np.zeros(0, np.uint8)
+        return np.unpackbits(whole, count=self.n, bitorder="little").view(bool)
 
     def ids(self) -> np.ndarray:
         """All ids in order: the stable sorts are undone from the last plane to the first."""
@@ -75,22 +82,19 @@ class WaveletMatrix:
             now = out
         return now
 
-    @property
-    def ranks(self) -> list[np.ndarray]:
-        if self._ranks is None:
-            step = BLOCK // 8
-            count = lambda p: np.bitwise_count(np.pad(p, (0, -len(p) % step))).reshape(-1, step).sum(1, dtype=np.int64)
-            self._ranks = [np.concatenate(([0], np.cumsum(count(p)))) for p in self.planes]
-        return self._ranks
-
     def rank1(self, level: int, i: int) -> int:
         """Ones among the first ``i`` bits of a plane."""
-        block = i // BLOCK
-        part = np.unpackbits(self.planes[level][block * BLOCK // 8 : (i + 7) // 8], bitorder="little")[: i - block * BLOCK]
-        return int(self.ranks[level][block]) + int(part.sum())
+        c, rest = divmod(i, BLOCK)
+        ones = int(self.ranks[level][c])
+        if rest:
+            part = self.block(level, c)
+            ones += int(np.bitwise_count(part[: rest // 8]).sum())
+            if rest % 8:
+                ones += (int(part[rest // 8]) & ((1 << rest % 8) - 1)).bit_count()
+        return ones
 
     def bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i // 8]) >> (i % 8) & 1
+        return int(self.block(level, i // BLOCK)[i % BLOCK // 8]) >> (i % 8) & 1
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -132,9 +136,9 @@ class WaveletMatrix:
         """The place of bit number ``k`` that is ``one`` in a plane."""
         ranks = self.ranks[level]
         seen = ranks if one else np.arange(len(ranks)) * BLOCK - ranks
-        block = int(np.searchsorted(seen, k, "right")) - 1
-        part = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(part == one)[k - int(seen[block])])
+        c = int(np.searchsorted(seen, k, "right")) - 1
+        part = np.unpackbits(self.block(level, c), bitorder="little")
+        return c * BLOCK + int(np.flatnonzero(part == one)[k - int(seen[c])])
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -143,26 +147,33 @@ def pack(ids: np.ndarray, lengths: np.ndarray) -> bytes:
 
     w = WaveletMatrix.of(ids)
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    frames = [squeeze(lengths.astype("<u8").tobytes()), *(squeeze(p.tobytes()) for p in w.planes)]
-    head = MAGIC + struct.pack(f"<IQQ{w.width}Q", w.width, w.n, len(lengths), *w.zeros)
-    return head + b"".join(struct.pack("<Q", len(f)) + f for f in frames)
+    frames = [squeeze(lengths.astype("<u8").tobytes()), *(squeeze(w.block(level, c).tobytes()) for level in range(w.width) for c in range(w.blocks))]
+    head = MAGIC + struct.pack(f"<IQQ{w.width}Q", w.width, w.n, len(lengths), *w.zeros) + b"".join(r.astype("<u8").tobytes() for r in w.ranks)
+    return head + np.array([len(f) for f in frames], "<u4").tobytes() + b"".join(frames)
 
 
 def unpack(data: bytes) -> tuple[WaveletMatrix, np.ndarray]:
-    """A shard's matrix and the lengths of its documents."""
+    """A shard's matrix, whose blocks are inflated when they are asked for, and the lengths of its documents."""
     import zstandard
 
     if data[:4] != MAGIC:
         raise ValueError("not a wavelet matrix file")
     width, n, _ = struct.unpack_from("<IQQ", data, 4)
-    zeros = struct.unpack_from(f"<{width}Q", data, 24)
-    at, frames = 24 + 8 * width, []
-    for _ in range(width + 1):
-        (size,) = struct.unpack_from("<Q", data, at)
-        frames.append(zstandard.ZstdDecompressor().decompress(data[at + 8 : at + 8 + size]))
-        at += 8 + size
-    planes = [np.frombuffer(f, np.uint8) for f in frames[1:]]
-    return WaveletMatrix(planes, list(zeros), n), np.frombuffer(frames[0], "<u8").astype(np.int64)
+    zeros, at, blocks = struct.unpack_from(f"<{width}Q", data, 24), 24 + 8 * width, -(-n // BLOCK)
+    ranks = np.frombuffer(data, "<u8", width * (blocks + 1), at).astype(np.int64).reshape(width, blocks + 1)
+    at += ranks.nbytes
+    sizes = np.frombuffer(data, "<u4", 1 + width * blocks, at)
+    ends = np.cumsum(sizes, dtype=np.int64) + at + sizes.nbytes
+    inflate = zstandard.ZstdDecompressor().decompress
+
+    def frame(k: int) -> bytes:
+        return inflate(data[int(ends[k]) - int(sizes[k]) : int(ends[k])])
+
+    @functools.lru_cache(maxsize=256)
+    def block(level: int, c: int) -> np.ndarray:
+        return np.frombuffer(frame(1 + level * blocks + c), np.uint8)
+
+    return WaveletMatrix(block, list(ranks), list(zeros), n), np.frombuffer(frame(0), "<u8").astype(np.int64)
 
 
 _STOPS = ".,"
@@ -260,7 +271,6 @@ SHARDS = "part int, seq int, n_docs bigint, n_tokens bigint, doc_ids binary, nul
 def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) in ascending doc_id order, write the shards to ``out`` and return them, read back."""
     spark = docs.sparkSession
-    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,7 +284,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_id
             data = pack(np.frombuffer(b"".join(ids), own.kind), np.array(lengths))
             return pd.DataFrame([[part, seq, len(numbers), total, keys.tobytes(), np.packbits(null).tobytes(), data]], columns=[x.split()[0] for x in SHARDS.split(", ")])
 
-        for b in batches:
+        for b in pieces(batches):
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             for number, raw in zip(b["doc_id"], own.encode(texts), strict=True):
                 ids += (raw, end)
@@ -294,8 +304,6 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_id
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the shards."""
-    spark = shards.sparkSession
-
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
@@ -313,7 +321,6 @@ def read_documents(shards: DataFrame) -> DataFrame:
     parts = totals.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("base"))
     own = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
     before = sizes.withColumn("own", own).join(parts, "part").select("part", "seq", (F.col("base") + F.col("own")).alias("before"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     placed = shards.join(F.broadcast(before), ["part", "seq"]) if before.count() <= 100_000 else shards.join(before, ["part", "seq"])
     return placed.select("n_docs", "doc_ids", "nulls", "payload", "before").mapInPandas(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 

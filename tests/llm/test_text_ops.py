@@ -225,6 +225,21 @@ def test_wavelet_matrix():
         assert w.count(1 << 21) == 0 and w.select(int(ids[0]) if len(ids) else 0, len(ids)) == -1
 
 
+def test_wavelet_file_inflates_what_it_needs():
+    r = np.random.default_rng(6)
+    ids = r.integers(0, 1 << 12, 5 * wavelet.BLOCK + 77)
+    w, _ = wavelet.unpack(wavelet.pack(ids, np.array([len(ids)])))
+    inflated = []
+    held = w.block
+    w.block = lambda level, c: inflated.append((level, c)) or held(level, c)
+    assert w.access(3 * wavelet.BLOCK + 5) == ids[3 * wavelet.BLOCK + 5] and len(set(inflated)) <= w.width
+    v = int(ids[-1])
+    assert w.count(v) == (ids == v).sum() and w.rank(v, len(ids) - 1) == (ids[:-1] == v).sum() and w.select(v, w.count(v) - 1) == len(ids) - 1
+    for i in (0, wavelet.BLOCK - 1, wavelet.BLOCK, len(ids) - 1):
+        assert w.access(i) == ids[i]
+    assert (w.ids() == ids).all()
+
+
 def test_token_output(spark, texts):
     path = queries.tokenizer_file("word_bpe_49k.json")
     library = wavelet.Encoder(path).library
