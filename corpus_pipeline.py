@@ -2,6 +2,11 @@
 
 Every stage takes all documents its predecessor kept and returns those it keeps, with the columns of ``documents``; the
 mixture returns a document as often as it takes it; the last stage writes the token shards and returns what they hold.
+
+Defined results: rows are judged one by one, whatever their numbers, and null numbers like any other. Null, empty or wordless
+texts have no language and go in the first stage; stages by themselves keep them (near-duplicates), or take none of them
+(mixture). Equal rows are copies of each other: one stays. An empty table passes through every stage. All columns are
+kept; those that begin with ``__`` are the stages' own.
 """
 
 from __future__ import annotations
@@ -10,17 +15,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import decontam, langid, mixture, neardup, wavelet
-from granary.llm.common import cut, table
+from granary.llm.common import cut, drop_scratch, put, table, written
 from granary.llm.queries import tokenizer_file
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (no text or no letter); others keep the label they came with."""
+    """Drops documents without a language (no text, no letter, or nothing in it that speaks for one of several languages); one without a label gets the predicted."""
     own = docs.columns
     keyed = docs.withColumn("__fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4)
     model = langid.fit(keyed.select("doc_id", "text", "lang", "__fold"), F.coalesce(F.col("__fold") != 2, F.lit(False)), F.col("doc_id"))
     seen = langid.predict(docs, model)
-    return seen.where(F.col("lang_pred") != langid.NONE).select(*own)
+    # letters that occur in no language leave all of them with the same score
+    chance = 1 / len(model["langs"]) if len(model["langs"]) > 1 else 0.0
+    kept = seen.where((F.col("lang_pred") != langid.NONE) & (F.col("score") > chance + 1e-9))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*own)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -77,8 +85,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; each result but the last is written and read again, and what a stage wrote for itself is deleted then."""
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        path = put(stage(spark, docs, sf_dir), name)
+        drop_scratch(spark, before, but=(path,))
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
