@@ -404,7 +404,21 @@ def test_pipeline_with_hard_rows(spark, tmp_path):
     rows = [(1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "12 34", "en", None, 5), (4, "some words here", "en", "s", 15), (4, "some words here", "en", "s", 15), (None, "no number at all", "en", "s", None), (6, "drei Worte hier", "de", "s", 15)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 4, 6}
+    got = corpus_pipeline.language_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(((r["doc_id"], r["lang"]) for r in got.collect()), key=str) == [(4, "en"), (4, "en"), (6, "de"), (None, "en")]
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 4, 6}
+
+
+def test_pipeline_of_no_documents_and_of_labels(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.read.parquet(f"{DATA}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    none = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).collect() == []
+    docs = spark.createDataFrame([(1, "one small text", "aa", "s", 1), (3, "ein kleiner Text", "bb", "s", 1), (5, "ein kleiner Text mehr", None, "s", 1), (6, "日本", None, "s", 1)], schema)
+    assert {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_stage(spark, docs, DATA).collect()} == {1: "aa", 3: "bb", 5: "bb"}
 
 
 def test_pipeline_judges_rows_one_by_one(spark):
