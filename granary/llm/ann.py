@@ -82,7 +82,8 @@ def _parts(n: Column, size: int) -> Column:
 
 def _meet(k: int, share: float, posted: int | None, probed: int | None):
     """Of one part of a file: its queries' best, as query (the row), vec_id, other (the row) and score."""
-    empty = pd.DataFrame({"query": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "score": np.zeros(0)})
+    names = ["query", "query_id", "vec_id", "other", "score"]
+    empty = pd.DataFrame({c: np.zeros(0, np.float64 if c == "score" else np.int64) for c in names})
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         queries, block = rows[rows["asks"]], rows[~rows["asks"]]
@@ -94,25 +95,29 @@ def _meet(k: int, share: float, posted: int | None, probed: int | None):
         q = _matrix(queries["vector"], v.shape[1])
         order = np.stack(block["nearest"]).astype(np.int64)
         wide = order.shape[1]
-        place = np.full((n, max(int(order.max()), *(int(x.max()) for x in queries["nearest"])) + 1), wide, np.int16)
-        np.put_along_axis(place, order, np.arange(wide, dtype=np.int16)[None, :], 1)
-        found = []
+        # the file turned over: for each pivot its place in the order of every vector
+        place = np.full((max(int(order.max()), *(int(x.max()) for x in queries["nearest"])) + 1, n), wide, np.int16)
+        place[order.T, np.arange(n)] = np.arange(wide, dtype=np.int16)[:, None]
+        first = order[:, :posted]
+        found: list[tuple[np.ndarray, ...]] = []
         for row, number, mine, x in zip(queries["row"], queries["vec_id"], queries["nearest"], q, strict=True):
             mine = mine.astype(np.int64)
-            some = np.flatnonzero(own != row)
+            others = own != row
             if probed is not None:  # of the files that both a vector is in and the query reads this must be the first
-                turn = np.full(place.shape[1], len(mine), np.int64)
+                turn = np.full(len(place), len(mine), np.int16)
                 turn[mine[:probed]] = np.arange(min(probed, len(mine)))
-                some = some[turn[order[some, :posted]].min(axis=1) == turn[file]]
+                others &= turn[first].min(axis=1) == turn[file]
+            some = np.flatnonzero(others)
             best = max(k, int(np.ceil(share * len(some))))
             if best < len(some):
-                footrule = np.abs(place[some][:, mine] - np.arange(len(mine), dtype=np.int16)).sum(axis=1, dtype=np.int64)
+                apart = place[mine][:, some] - np.arange(len(mine), dtype=np.int16)[:, None]
+                footrule = np.abs(apart, out=apart).sum(axis=0, dtype=np.int32)
                 some = np.sort(some[np.argsort(footrule, kind="stable")[:best]])
             with np.errstate(all="ignore"):
                 score = v[some] @ x
             top = np.lexsort((ids[some], -np.nan_to_num(score, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.isnan(score)))[:k]
-            found.append(pd.DataFrame({"query": row, "query_id": number, "vec_id": ids[some][top], "other": own[some][top], "score": score[top]}))
-        return pd.concat(found)
+            found.append((np.full(len(top), row), np.full(len(top), number), ids[some[top]], own[some[top]], score[top]))
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return meet
 
