@@ -284,7 +284,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_id
             data = pack(np.frombuffer(b"".join(ids), own.kind), np.array(lengths))
             return pd.DataFrame([[part, seq, len(numbers), total, keys.tobytes(), np.packbits(null).tobytes(), data]], columns=[x.split()[0] for x in SHARDS.split(", ")])
 
-        for b in pieces(batches):
+        for b in pieces(batches, 1024):
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             for number, raw in zip(b["doc_id"], own.encode(texts), strict=True):
                 ids += (raw, end)
