@@ -26,7 +26,7 @@ from functools import lru_cache
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -89,32 +89,68 @@ def fit(docs: DataFrame, learn: Column, key: Column) -> dict[str, Any]:
     return {"langs": langs, "path": put(every.groupBy("k", "entry").agg(*by_lang), "model")}
 
 
-def read(model: dict[str, Any], k: int) -> tuple[list[str], np.ndarray]:
-    """The entries of one length, sorted, and their log frequencies by language."""
+def read(model: dict[str, Any], k: int) -> tuple[pa.Array, np.ndarray]:
+    """The entries of one length, by their length in bytes and then sorted, and their log frequencies by language."""
     system, path = fs.FileSystem.from_uri(model["path"] if "://" in model["path"] else f"file://{model['path'].removeprefix('file:')}")
     found = pq.read_table(path, filesystem=system, filters=[("k", "=", k)])
-    found = found.take(pc.sort_indices(found["entry"]))
+    entries = found["entry"].combine_chunks().cast(pa.binary())
+    order = pc.sort_indices(pa.table({"n": pc.binary_length(entries), "e": entries}), [("n", "ascending"), ("e", "ascending")])
+    # the sums do not depend on the order
     counts = np.stack([found[f"l{i}"].to_numpy().astype(np.float64) for i in range(len(model["langs"]))], axis=1) + 0.5
-    return found["entry"].to_pylist(), np.log(counts / counts.sum(axis=0))
+    return entries.take(order), np.log(counts / counts.sum(axis=0))[order.to_numpy()]
+
+
+class Words:
+    """Places of words in a list: fixed-width arrays of the words of each length in bytes, a tenth of what a dict takes."""
+
+    def __init__(self, entries: pa.Array):
+        self.entries, self.of = entries, {}
+        sizes = np.asarray(pc.binary_length(entries))
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        data = entries.buffers()[2]
+        base = int(np.frombuffer(entries.buffers()[1], np.int32)[entries.offset]) if len(entries) else 0
+        for n, at, many in zip(*np.unique(sizes, return_index=True, return_counts=True), strict=True):
+            self.of[int(n)] = np.frombuffer(data, f"S{n}", int(many), base + int(ends[at])), int(at)
+
+    def place(self, word: str) -> int | None:
+        raw = word.encode()
+        found = self.of.get(len(raw))
+        if found is None:
+            return None
+        at = int(found[0].searchsorted(raw))
+        return found[1] + at if at < len(found[0]) and found[0][at] == raw else None
+
+    def __len__(self) -> int:
+        return len(self.entries)
+
+    def __iter__(self) -> Iterator[str]:
+        return (x.as_py().decode() for x in self.entries)
 
 
 class Identifier:
-    """Scores texts; words met are remembered up to ``CACHE``."""
+    """Scores texts; words met are remembered up to ``CACHE``, and only these are in a dict."""
 
     def __init__(self, model: dict[str, Any]):
-        self.langs, self.base, self.known, self.grams = model["langs"], [], np.zeros((0, 0)), {}
+        self.langs, self.base, self.known, self.grams = model["langs"], Words(pa.array([], pa.binary())), np.zeros((0, 0)), {}
         if self.langs:
-            self.base, self.known = read(model, 0)
+            entries, self.known = read(model, 0)
+            self.base = Words(entries)
             for k in range(1, LONGEST + 1):
                 entries, logs = read(model, k)
-                self.grams[k] = (np.array(entries, f"U{k}"), logs)  # a dict of them would take ten times the memory
+                entries = np.array(entries.cast(pa.string()).to_pylist(), f"U{k}")
+                order = entries.argsort()
+                self.grams[k] = entries[order], logs[order]
+            pa.default_memory_pool().release_unused()
         self.reset()
 
     def reset(self) -> None:
-        self.index = {w: i for i, w in enumerate(self.base)}
-        self.matrix = np.zeros((len(self.base) + CACHE, max(1, len(self.langs))))
-        if self.langs:
-            self.matrix[: len(self.base)] = self.known
+        self.index: dict[str, int] = {}
+        self.matrix = np.zeros((CACHE, max(1, len(self.langs))))
+
+    def logs(self, word: str) -> np.ndarray:
+        """The log frequencies of a word by language."""
+        at = self.base.place(word)
+        return self.backed_off(word) if at is None else self.known[at]
 
     def backed_off(self, word: str) -> np.ndarray:
         """The mean of the log frequencies of the longest n-grams known, taken as one word."""
@@ -146,7 +182,7 @@ class Identifier:
                         if len(self.index) >= len(self.matrix):
                             self.matrix = np.concatenate((self.matrix, np.zeros_like(self.matrix)))
                         at = self.index[word] = len(self.index)
-                        self.matrix[at] = self.backed_off(word)
+                        self.matrix[at] = self.logs(word)
                     rows[i] = at
         total = self.matrix[rows].sum(axis=0)
         best = int(total.argmax())
@@ -164,11 +200,13 @@ def predict(docs: DataFrame, model: dict[str, Any]) -> DataFrame:
     """``docs`` (text) with lang_pred and score; no shuffle, and only texts go to Python. Workers read the model from the shared folder."""
     langs, path = tuple(model["langs"]), model.get("path")
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _loaded(langs, path)
         for b in batches:
-            yield pd.DataFrame([own.predict(t if isinstance(t, str) else None) for t in b], columns=["lang_pred", "score"])
+            # texts become Python's one by one: a batch of them is held once
+            found = [own.predict(t.as_py()) for t in b]
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["lang_pred", "score"])
 
     # as it may not be evaluated twice, for a filter and for the result
     seen = docs.withColumn("__seen", run.asNondeterministic()("text"))

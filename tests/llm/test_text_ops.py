@@ -139,6 +139,19 @@ def test_language_keeps_words_of_rare_languages(spark):
     assert own.predict("spoken")[0] == "rare" and own.predict("qspokenq")[0] == "rare" and own.predict(rows[0][1])[0] == "big"
 
 
+def test_language_model_is_held_in_arrays(spark):
+    import pyarrow as pa
+
+    words = sorted(["a", "b", "é", "ab", "яж", "abé", "z" * 5000, "zz"], key=lambda w: (len(w.encode()), w.encode()))
+    held = langid.Words(pa.array([w.encode() for w in words], pa.binary()))
+    assert [held.place(w) for w in words] == list(range(len(words))) and list(held) == words
+    assert all(held.place(w) is None for w in ("c", "A", "ac", "яз", "z" * 4999, "q" * 77)) and langid.Words(pa.array([], pa.binary())).place("a") is None
+    model = langid.fit(spark.createDataFrame([(1, "one two three", "aa"), (2, "eins zwei drei", "bb")], "doc_id bigint, text string, lang string"), F.lit(True), F.col("doc_id"))
+    own = langid.Identifier(model)
+    assert not own.index and len(own.base) == 6
+    assert own.predict("two two unknown")[0] == "aa" and set(own.index) == {"two", "unknown"}
+
+
 def plain_language(rows, text):
     """Scores a text by counting all words and n-grams of the labelled rows anew."""
     import unicodedata
