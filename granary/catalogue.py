@@ -340,7 +340,7 @@ def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEPT = "SELECT _table, event, created, kind, CASE WHEN _table = 1 AND kind = 99 THEN value + 1 ELSE value END AS value FROM e WHERE NOT (_table = 2 AND event % 2 = 0)"
 _add("catalog_rows", lambda s, d: _stored(s, d).rows("events"), _KEPT)
 _add("catalog_find", lambda s, d: _stored(s, d).find("events", 1, T.kind == 99).sort(-T.created).limit(50).items(), f"SELECT event, created, kind, value FROM ({_KEPT}) WHERE _table = 1 AND kind = 99 ORDER BY created DESC, event LIMIT 50")
-_add("catalog_tables", lambda s, d: s.createDataFrame([(t,) for t in _stored(s, d).tables("events")], f"{TABLE} bigint"), "SELECT DISTINCT _table FROM e WHERE _table <> 2 OR event % 2 <> 0")
+_add("catalog_tables", lambda s, d: _stored(s, d).table_ids("events"), "SELECT DISTINCT _table FROM e WHERE _table <> 2 OR event % 2 <> 0")
 _add("catalog_buckets", lambda s, d: s.createDataFrame([(b,) for b in _stored(s, d).list_buckets()], "bucket string"), "SELECT 'events' AS bucket")
 _add("changefeed_pages", _fed, "SELECT 'upsert' AS op, _table, event, kind, value FROM e UNION ALL SELECT 'upsert', _table, event, kind, value + 1 FROM e WHERE _table = 1 AND kind = 99 UNION ALL SELECT 'remove', _table, event, kind, value FROM e WHERE _table = 2 AND event % 2 = 0")
 _add("changefeed_apply", _applied, _KEPT)

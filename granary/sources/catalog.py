@@ -259,15 +259,14 @@ class Catalog:
         ids = self.rows(bucket).select(TABLE).distinct()
         return (ids if after is None else ids.where(F.col(TABLE) > after)).orderBy(TABLE).limit(limit)
 
+    def table_ids(self, bucket: str) -> DataFrame:
+        """Ids of all tables that have rows, in one pass and no order."""
+        self.counters["num_commands"] += 1
+        return self.rows(bucket).select(TABLE).distinct()
+
     def tables(self, bucket: str, page: int = 1024) -> Iterator[int]:
-        """The ids of all tables, page by page."""
-        after: int | None = None
-        while True:
-            ids = [r[0] for r in self.list_tables(bucket, after, page).collect()]
-            yield from ids
-            if len(ids) < page:
-                return
-            after = ids[-1]
+        """The ids of all tables, ascending: one pass, whose result is fetched a partition at a time, whatever ``page`` a caller of ``list_tables`` would take."""
+        yield from (r[0] for r in self.table_ids(bucket).orderBy(TABLE).toLocalIterator())
 
     def get_raw(self, bucket: str, table: int) -> bytes:
         """The packed records of one table, for tables that fit the caller; ``rawcodec.export_tables`` serves the rest."""

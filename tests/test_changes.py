@@ -149,6 +149,19 @@ def test_pages_of_changes_make_an_equal_bucket(spark, tmp_path):
     assert d.applied("own") == 7
 
 
+def test_all_tables_are_found_in_one_pass(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/data")
+    c.alter_bucket("kv", *KV.fields)
+    c.insert("kv", None, spark.range(1000).selectExpr(f"id % 50 as {TABLE}", "id as k"))
+    c.remove("kv", 7)
+    before, want = c.counters["num_disk_reads"], [t for t in range(50) if t != 7]
+    assert list(c.tables("kv", page=4)) == want
+    once = c.counters["num_disk_reads"] - before
+    c.rows("kv")
+    assert c.counters["num_disk_reads"] == before + 2 * once
+    assert sorted(r[0] for r in c.table_ids("kv").collect()) == want
+
+
 def test_small_commits_leave_the_rest_alone(spark, tmp_path):
     import os
 
