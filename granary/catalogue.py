@@ -304,10 +304,8 @@ def _pages(c: Catalog) -> list[DataFrame]:
 
 
 def _fed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = None
-    for page in _pages(_stored(spark, sf_dir)):
-        whole = page if whole is None else whole.unionByName(page)
-    return whole.where("op <> 'alter'").select("op", TABLE, "event", "kind", "value")
+    """All pages of the change feed, from its beginning to its end."""
+    return _stored(spark, sf_dir).pages("events", limit=20_000).where("op <> 'alter'").select("op", TABLE, "event", "kind", "value")
 
 
 def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:

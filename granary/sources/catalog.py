@@ -5,7 +5,9 @@ A bucket is a folder of JSON and Parquet that any Hadoop file system can hold.
 now and then (``compact``).  Readers merge the last snapshot with the changes since, so they see whole commits only and a
 filter reaches the scan of the snapshot.  One writer at a time.
 
-Every change has a position of its own: the number of its commit, then its place in it.
+Every change has a position of its own: the number of its commit, then its place in it: the task that wrote it and, without
+gaps, its row there.  A commit's pointer says how many changes each task wrote, so where a page of the feed ends is reckoned
+from pointers alone, and a page, or all of them, is read by its positions.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ COMMIT, PART = 42, 28
 COMPACT = 16
 #: Where the catalog itself logs what no bucket can: that it was dropped.
 COMMANDS = "_commands"
+#: In a pointer: position of the first change of each task that wrote any, and how many these are.
+SIZES = "sizes array<struct<first: bigint, n: bigint>>"
 
 
 class BucketMissing(GranaryError):
@@ -172,17 +176,23 @@ class Catalog:
         place = F.when(fits, F.lit(version << COMMIT).cast("bigint") + F.shiftleft(part, PART) + row).otherwise(F.raise_error(F.lit("too many changes in one task for their positions")))
         ordered.withColumn("position", place).write.mode("overwrite").parquet(f"{path}/log/{version}")
         self.counters["num_disk_writes"] += 1
-        if base is None and applied is None and self.spark.read.parquet(f"{path}/log/{version}").isEmpty():
+        sizes = self._counted_sizes(f"{path}/log/{version}")
+        if base is None and applied is None and not sizes:
             self._delete(f"{path}/log/{version}")
             return None
         if base is not None:
             self._snapshot(bucket, base, schema, version)
         done = self.applied(bucket) if applied is None and have else -1 if applied is None else applied
-        self.spark.createDataFrame([(version, int(time.time()), done)], "version bigint, written bigint, applied bigint").coalesce(1).write.mode("overwrite").json(f"{path}/current/{version}")
+        self.spark.createDataFrame([(version, int(time.time()), done, sizes)], f"version bigint, written bigint, applied bigint, {SIZES}").coalesce(1).write.mode("overwrite").json(f"{path}/current/{version}")
         if base is None and self.compact_after is not None and version - max(self._versions(f"{path}/rows")) >= self.compact_after:
             self.compact(bucket)
         return version
 
+    def _counted_sizes(self, path: str) -> list[tuple[int, int]]:
+        """For each task that wrote changes of a commit the position of its first and their number, in order."""
+        found = self.spark.read.schema("position bigint").parquet(path).groupBy(F.shiftright("position", PART).alias("p")).agg(F.count("*").alias("n"))
+        return sorted((r["p"] << PART, r["n"]) for r in found.collect())
+
     def _snapshot(self, bucket: str, rows: DataFrame, schema: Schema, version: int) -> None:
         shaped = rows.select(*[F.col(f.name).alias(f.name, metadata=f.metadata) for f in schema.struct().fields])
         shaped.repartitionByRange(TABLE, schema.pk.name).sortWithinPartitions(TABLE, schema.pk.name).write.mode("overwrite").parquet(f"{self._path(bucket)}/rows/{version}")
@@ -290,25 +300,69 @@ class Catalog:
         self._commit(bucket, change, base=self.rows(bucket).where(F.col(TABLE) != table).unionByName(new))
 
     # change feed
+    def _sizes(self, bucket: str, after: int) -> Iterator[tuple[int, int]]:
+        """First position and number of the changes of each task, from the one that wrote position ``after`` on; some pointers at a time."""
+        path = self._path(bucket)
+        versions = [v for v in self._versions(f"{path}/current") if v >= after >> COMMIT]
+        for at in range(0, len(versions), 256):
+            some = versions[at : at + 256]
+            told = {r["version"]: r["sizes"] for r in self.spark.read.schema(f"version bigint, {SIZES}").json([f"{path}/current/{v}" for v in some]).collect()}
+            for v in some:
+                # pointers of before do not tell
+                sizes = self._counted_sizes(f"{path}/log/{v}") if told[v] is None else told[v]
+                yield from ((first, n) for first, n in sizes if first + n - 1 > after)
+
+    def ends(self, bucket: str, after: int = -1, limit: int = 512) -> Iterator[int]:
+        """The last positions of the pages that ``feed`` gives one after the other, without a look at the changes."""
+        room, last = limit, after
+        for first, n in self._sizes(bucket, after):
+            at = max(first, after + 1)
+            while at < first + n:
+                last = min(at + room, first + n) - 1
+                room -= last + 1 - at
+                at = last + 1
+                if not room:
+                    yield last
+                    room = limit
+        if room < limit:
+            yield last
+
+    def changes(self, bucket: str, after: int = -1, upto: int | None = None) -> DataFrame:
+        """Changes after a position, up to and with another, in no order."""
+        path = self._path(bucket)
+        versions = [v for v in self._versions(f"{path}/current") if v >= after >> COMMIT and (upto is None or v <= upto >> COMMIT)]
+        if not versions:
+            empty = self._change(self.spark.createDataFrame([], "op string"), self.schema(bucket))
+            return empty.select(F.lit(0).cast("bigint").alias("position"), *empty.columns)
+        found = self._changes(bucket, self.schema(bucket), versions).where(F.col("position") > after)
+        return found if upto is None else found.where(F.col("position") <= upto)
+
     def log(self, bucket: str, after: int = -1, limit: int | None = 512) -> DataFrame:
         """Changes after a position in order, at most ``limit`` of them; the largest position of a page is where the next begins."""
         self.counters["num_commands"] += 1
-        current = set(self._versions(f"{self._path(bucket)}/current"))
-        versions = [v for v in self._versions(f"{self._path(bucket)}/log") if v >= after >> COMMIT and v in current]
-        found = self._changes(bucket, self.schema(bucket), versions).where(F.col("position") > after) if versions else None
-        if found is None or found.isEmpty():
+        upto = next(self.ends(bucket, after, 1 if limit is None else limit), None)
+        if upto is None:
             raise GranaryError("no changes after that position")
-        found = found.orderBy("position")
-        return found if limit is None else found.limit(limit)
+        return self.changes(bucket, after, None if limit is None else upto).orderBy("position")
 
     def feed(self, bucket: str, after: int = -1, limit: int = 512) -> tuple[DataFrame, int]:
         """A page of changes and the position to ask for the next page with; an empty page at the end."""
-        try:
-            page = self.log(bucket, after, limit)
-        except GranaryError:
-            empty = self._change(self.spark.createDataFrame([], "op string"), self.schema(bucket))
-            return empty.select(F.lit(0).cast("bigint").alias("position"), *empty.columns), after
-        return page, page.agg(F.max("position")).first()[0]
+        self.counters["num_commands"] += 1
+        upto = next(self.ends(bucket, after, limit), after)
+        return self.changes(bucket, after, upto).orderBy("position"), upto
+
+    def pages(self, bucket: str, after: int = -1, limit: int = 512) -> DataFrame:
+        """All changes after a position with the number, from 0, of the page in which ``feed`` would give them: one scan for all pages."""
+        self.counters["num_commands"] += 1
+        before, starts = 0, []
+        for first, n in self._sizes(bucket, after):
+            skipped = max(0, after + 1 - first)
+            starts.append((first >> PART, before - skipped))
+            before += n - skipped
+        found, part = self.changes(bucket, after), F.shiftright("position", PART)
+        own = self.spark.createDataFrame(starts, "__part bigint, __start bigint")
+        nth = F.col("__start") + F.col("position").bitwiseAND(F.lit((1 << PART) - 1).cast("bigint"))
+        return found.join(F.broadcast(own), part == F.col("__part")).select(F.floor(nth / limit).alias("_page"), *found.columns)
 
     def applied(self, bucket: str) -> int:
         """The position up to which changes of another catalog were replayed here; -1 for none."""

@@ -1,5 +1,7 @@
 """Schemas, packed records, inserts to removals, storage and change logs."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,40 @@ def test_all_tables_are_found_in_one_pass(spark, tmp_path):
     assert sorted(r[0] for r in c.table_ids("kv").collect()) == want
 
 
+def test_pages_are_reckoned_from_pointers(spark, tmp_path):
+    import glob
+    import json
+
+    c = Catalog(spark, f"file://{tmp_path}/data")
+    c.alter_bucket("kv", *KV.fields)
+    c.insert("kv", None, spark.range(300).selectExpr(f"id % 5 as {TABLE}", "id as k", "id % 100 as a"))
+    c.update("kv", 3, T.k > 100, {"a": 1})
+    c.remove("kv", 4, T.k < 30)
+    every = sorted(r["position"] for r in c.log("kv", limit=None).collect())
+    told = lambda after, limit: {(r["_page"], r["position"]) for r in c.pages("kv", after, limit).collect()}
+    for after, limit in ((-1, 100), (every[0], 64), (every[150], 7), (every[-3], 1), (every[-1] + 5, 9), (every[-1], 9)):
+        rest = [x for x in every if x > after]
+        want = [rest[i : i + limit] for i in range(0, len(rest), limit)]
+        assert list(c.ends("kv", after, limit)) == [w[-1] for w in want]
+        assert told(after, limit) == {(i, x) for i, w in enumerate(want) for x in w}
+        page, end = c.feed("kv", after, limit)
+        assert [r["position"] for r in page.collect()] == (want[0] if want else []) and end == (want[0][-1] if want else after)
+    with pytest.raises(GranaryError):
+        c.log("kv", every[-1])
+    # the plan of a page neither sorts nor merges what comes after it, and all pages come without an exchange
+    assert "TakeOrdered" not in c.log("kv", limit=7)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in c.pages("kv", limit=7)._jdf.queryExecution().executedPlan().toString()
+    # pointers of catalogs written before have no sizes
+    want = told(-1, 7)
+    for f in glob.glob(f"{tmp_path}/data/kv/current/*/part-*.json"):
+        own = json.loads(open(f).read())
+        assert own.pop("sizes")
+        open(f, "w").write(json.dumps(own))
+    for f in glob.glob(f"{tmp_path}/data/kv/current/*/.part-*.crc"):
+        os.remove(f)
+    assert told(-1, 7) == want
+
+
 def test_small_commits_leave_the_rest_alone(spark, tmp_path):
     import os
 
