@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import json
 import time
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -387,6 +389,18 @@ class Catalog:
         self._commit(bucket, self._change(net, schema), applied=last)
         return last
 
+    def catch_up(self, bucket: str, source: Catalog, limit: int = 512) -> int:
+        """Replays the pages of another catalog's feed from the position applied here to its end, which is returned.
+
+        A commit takes twice the pages of the one before: as many commits as the number of pages has binary digits, and
+        after a stop at most the last half is to be done again.
+        """
+        done, many = self.applied(bucket), 1
+        ends = source.ends(bucket, done, limit)
+        while upto := deque(islice(ends, many), maxlen=1):
+            done, many = self.replay(bucket, source.changes(bucket, done, upto[0])), 2 * many
+        return done
+
     def set_position(self, bucket: str, position: int) -> None:
         """Has a bucket that has replayed nothing yet begin after ``position``, for one that was copied by other means."""
         self.counters["num_commands"] += 1

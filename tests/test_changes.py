@@ -198,6 +198,23 @@ def test_pages_are_reckoned_from_pointers(spark, tmp_path):
     assert told(-1, 7) == want
 
 
+def test_catching_up_takes_few_commits(spark, tmp_path):
+    c, d = Catalog(spark, f"file://{tmp_path}/from"), Catalog(spark, f"file://{tmp_path}/to")
+    c.alter_bucket("kv", *KV.fields)
+    c.insert("kv", None, spark.range(3000).selectExpr(f"id % 5 as {TABLE}", "id as k", "id % 100 as a"))
+    c.remove("kv", 4, T.k < 300)
+    c.alter_bucket("kv", *KV.fields, Field("likes", 20))
+    c.insert("kv", 9, {"k": 1, "likes": 5})
+    d.alter_bucket("kv", *KV.fields)
+    ends = list(c.ends("kv", -1, 100))
+    assert len(ends) == 31 and d.catch_up("kv", c, 100) == ends[-1] == d.applied("kv")
+    at = d.version("kv")
+    assert at <= 7 and sorted(map(tuple, d.rows("kv").collect())) == sorted(map(tuple, c.rows("kv").collect()))
+    assert d.catch_up("kv", c, 100) == ends[-1] == d.replay("kv", c.feed("kv", -1, 100)[0]) and d.version("kv") == at
+    c.insert("kv", 9, {"k": 2})
+    assert d.catch_up("kv", c, 100) > ends[-1] and d.rows("kv").count() == c.rows("kv").count()
+
+
 def test_small_commits_leave_the_rest_alone(spark, tmp_path):
     import os
 
