@@ -21,6 +21,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -30,6 +31,12 @@ from granary.llm.common import pieces
 #: Entries kept in a worker's caches before they are emptied: bounds its memory, not the result.
 CACHE = 500_000
 PAIR_CACHE = 500_000
+#: Bytes by which the tokens that may end a prefix are found.
+END = 4
+#: Bytes of pieces that are compared to see how far two begin alike.
+HEAD = 32
+#: Letters that are letters in any Unicode version, after a space or none, and one stop or comma, which is a token of its own.
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 _RUN = re.compile(r"\s\s")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: White space for Python, not for the tokenizers library.
@@ -64,6 +71,16 @@ class PrefixCounter:
         self.as_byte = as_byte
         special = [re.escape(x["content"]) for x in spec["added_tokens"]]
         self.special = re.compile("|".join(special)) if special else None
+        self.tokens = sorted(self.vocab)
+        self.ids = {t: i for i, t in enumerate(self.tokens)}
+        sizes: dict[bytes, set[int]] = {}
+        for t in self.tokens:
+            if len(t) >= END:
+                sizes.setdefault(t[-END:], set(range(1, END))).add(len(t))
+        #: For the last bytes of a prefix how long tokens that end there may be, longest first.
+        self.sizes = {end: tuple(sorted(found, reverse=True)) for end, found in sizes.items()}
+        #: As ``pairs``, by token numbers: the first times the number of tokens plus the second; no first is one beyond the last.
+        self.known: dict[int, bool] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.chunks: dict[str, int] = {}
 
@@ -122,14 +139,56 @@ class PrefixCounter:
             return 0, self.pieces(chunk)
         return len(self.special.findall(chunk)), [p for x in self.special.split(chunk) if x for p in self.pieces(x)]
 
+    def totals(self, pieces: list[bytes]) -> list[int]:
+        """Counts of whole pieces, in sorted order: each takes over the table of the one before as far as both begin alike."""
+        head = np.array(pieces, f"S{HEAD}").view(np.uint8).reshape(-1, HEAD)
+        alike = (head[1:] == head[:-1]).cumprod(axis=1, dtype=np.uint8).sum(axis=1).tolist()
+        ids, sizes, pairs, many, short = self.ids.get, self.sizes.get, self.known.get, len(self.ids), range(END - 1, 0, -1)
+        out, counts, last = [], [0], [many]
+        for piece, n in zip(pieces, [0, *alike], strict=True):
+            n = min(n, len(piece), len(counts) - 1)
+            del counts[n + 1 :], last[n + 1 :]
+            for i in range(n + 1, len(piece) + 1):
+                for n in sizes(piece[i - END : i], short) if i >= END else short:
+                    if n > i or (t := ids(piece[i - n : i])) is None:
+                        continue
+                    j = i - n
+                    k = last[j] * many + t
+                    fits = pairs(k)
+                    if fits is None:
+                        fits = self._judge(k)
+                    if fits:
+                        counts.append(counts[j] + 1)
+                        last.append(t)
+                        break
+                else:
+                    raise ValueError(f"no token ends {piece[:i]!r}")
+            out.append(counts[-1])
+        return out
+
+    def _judge(self, k: int) -> bool:
+        """``may_follow`` for the pair of token numbers in ``k``."""
+        a, b = divmod(k, len(self.ids))
+        if len(self.known) >= PAIR_CACHE:
+            self.known.clear()
+        a, b = self.tokens[a] if a < len(self.tokens) else b"", self.tokens[b]
+        fits = self.known[k] = self.merged(a + b) == ([a, b] if a else [b])
+        return fits
+
     def learn(self, chunks: set[str]) -> dict[str, int]:
-        """Counts of chunks not met before: in sorted order, so that pieces with a common beginning share its table."""
-        found = {c: self.fresh(c) for c in chunks}
-        of, table = {}, None
-        for p in sorted({p for _, ps in found.values() for p in ps}):
-            table = self.prefixes(p, table)
-            of[p] = table[1][-1]
-        return {c: n + sum(map(of.__getitem__, ps)) for c, (n, ps) in found.items()}
+        """Counts of chunks not met before. Letters, with a stop or comma or not, are cut here, and then known by the letters."""
+        words = {c: m for c in chunks if (m := _WORD.fullmatch(c))}
+        found = {c: self.fresh(c) for c in chunks if c not in words}
+        known = self.chunks.get
+        need = {w.encode(): w for w in {m[1] for m in words.values()} if known(w) is None}
+        order = sorted(need.keys() | {p for _, ps in found.values() for p in ps})
+        of = dict(zip(order, self.totals(order), strict=True)) if order else {}
+        out = {w: of[p] for p, w in need.items()}
+        for c, m in words.items():
+            if c not in out:
+                n = out.get(m[1])
+                out[c] = (known(m[1]) if n is None else n) + len(m[2])
+        return out | {c: n + sum(map(of.__getitem__, ps)) for c, (n, ps) in found.items()}
 
     def counts(self, texts: list[str]) -> list[int]:
         """The number of tokens of each whole text."""

@@ -112,6 +112,21 @@ def test_surge_and_dive():
             assert htmltext.spans(weights, window, surge) == plain_spans(weights, window, surge), (weights, window, surge)
 
 
+def test_token_counts_of_many_pieces():
+    import public_tokenizers
+
+    own = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(3)
+    pieces = sorted({"".join(r.choice(a) for _ in range(r.randint(1, 12))).encode() for a in ("ab", "the ", "éñaß", " \n", "0.-") for _ in range(300)} | {b"a" * n for n in range(1, 90)} | {b"a" * 40 + bytes([x]) * 3 for x in b"bcd"} | {b" " * 200})
+    assert own.totals(pieces) == [own.prefixes(p)[1][-1] for p in pieces]
+    # a word is worked out once, whatever follows it
+    asked, totals = [], own.totals
+    own.totals = lambda ps: asked.extend(ps) or totals(ps)
+    texts = ["The wordé, wordé. wordé", "wordé.", "x wordé! wordé,, ª. µ, don't, a.b ñ,\nñ"]
+    assert own.counts(texts) == [len(own.library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert own.counts([" wordé, wordé"]) == [len(own.library.encode(" wordé, wordé", add_special_tokens=False).ids)] and asked.count(" wordé".encode()) == 1
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
