@@ -17,13 +17,14 @@ numbers by text hash; an empty table gives no shard; a text longer than a shard
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import filterfalse
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -177,6 +178,7 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, np.ndarray]:
 
 
 _STOPS = ".,"
+_FIRST = itemgetter(0)
 #: White space for Python, not for the tokenizers library.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -189,6 +191,11 @@ def _latin(text: str) -> bool:
     return True
 
 
+def _nones(found: list) -> list[int]:
+    """The places of None, of which there are few."""
+    return [] if None not in found else [i for i, x in enumerate(found) if x is None]
+
+
 class Encoder:
     """Ids by the tokenizers library; parts between white space are encoded once and remembered."""
 
@@ -222,9 +229,10 @@ class Encoder:
             starts = np.cumsum([0, *(len(p) + 1 for p in some)])
             ids = np.array(whole.ids, self.kind)
             if len(ids):
-                begins = np.fromiter((a for a, _ in whole.offsets), np.int64, len(ids))
-                edges = np.searchsorted(begins, starts, "left")
-                out |= {p: ids[a:b].tobytes() for p, a, b in zip(some, edges, edges[1:], strict=False)}
+                begins = np.fromiter(map(_FIRST, whole.offsets), np.int64, len(ids))
+                edges = (np.searchsorted(begins, starts, "left") * ids.itemsize).tolist()
+                raw = ids.tobytes()
+                out |= {p: raw[a:b] for p, a, b in zip(some, edges, edges[1:], strict=False)}
             else:
                 out |= dict.fromkeys(some, b"")
         return out
@@ -240,10 +248,21 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.apart:
             return [self.raw(x.ids) for x in self.library.encode_batch(texts, add_special_tokens=False)]
+        # millions of strings and pairs of numbers without a cycle among them: the collector would go through them in vain
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._by_parts(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
         parts = [self.parts(t) for t in texts]
-        new: set[str] = set()
-        for ps in parts:
-            new.update(filterfalse(self.known.__contains__, ps))
+        # one look at the memory for each part; the gaps are filled when their parts are known
+        met = [list(map(self.known.get, ps)) for ps in parts]
+        gaps = [_nones(ids) for ids in met]
+        new = {ps[i] for ps, at in zip(parts, gaps, strict=True) for i in at}
         # parts met in the last generation of the memory move over; a word with a stop or comma is known by the word
         now = {p: self.old[p] for p in new if p in self.old} if self.old else {}
         bare = {p: p[:-1] for p in new if p not in now and p[-1:] in _STOPS and p[:-1].isalpha()}
@@ -254,7 +273,10 @@ class Encoder:
         for p, w in bare.items():
             now[p] = (now.get(w) or self.known.get(w) or self.old[w]) + self.stops[p[-1]]
         self.known |= now
-        out = [b"".join(map(self.known.__getitem__, ps)) for ps in parts]
+        for ps, ids, at in zip(parts, met, gaps, strict=True):
+            for i in at:
+                ids[i] = now[ps[i]]
+        out = list(map(b"".join, met))
         if len(self.known) > CACHE // 2:
             self.old, self.known = self.known, {}
         return out

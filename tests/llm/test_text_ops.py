@@ -127,6 +127,22 @@ def test_token_counts_of_many_pieces():
     assert own.counts([" wordé, wordé"]) == [len(own.library.encode(" wordé, wordé", add_special_tokens=False).ids)] and asked.count(" wordé".encode()) == 1
 
 
+def test_parts_are_looked_up_once():
+    import gc
+
+    import public_tokenizers
+
+    class Memory(dict):
+        def __getitem__(self, key):
+            raise AssertionError("a second look")
+
+    own = wavelet.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    own.known = Memory()
+    texts = ["One two, two. THREE three", "", "  one\tfour, naïve. яж яж", "one two three"] + [t for t in HARD if t]
+    want = [own.raw(own.library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert own.encode(texts) == want and own.encode(texts[::-1]) == want[::-1] and type(own.known) is Memory and gc.isenabled()
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
