@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +21,38 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: What this process remembers: Python workers outlive tasks and stages, and so does this.
+_REMEMBERED: list[Any] = []
+
+
+def remembered(maxsize: int) -> Callable[[Callable], Any]:
+    """``functools.lru_cache`` for what a worker keeps from task to task, until another operator begins (see ``lean``)."""
+
+    def cached(make: Callable) -> Any:
+        _REMEMBERED.append(functools.lru_cache(maxsize=maxsize)(make))
+        return _REMEMBERED[-1]
+
+    return cached
+
+
+def trim() -> None:
+    """Gives free memory of this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def lean(own: Any = None) -> None:
+    """Drops what operators before this one left in a worker, except ``own``: a stage that follows another starts from an empty one."""
+    others = [f for f in _REMEMBERED if f is not own and f.cache_info().currsize]
+    for f in others:
+        f.cache_clear()
+    if others:
+        gc.collect()
+    trim()
+
+
 #: Scratch tables written so far by this driver.
 _WRITTEN: list[str] = []
 

@@ -33,12 +33,12 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import cut, put
+from granary.llm.common import cut, lean, put, remembered, trim
 
 TRAIN_DOCS = 3000
 LONGEST = 5
 NONE = "und"
-CACHE = 200_000
+CACHE = 100_000
 #: Places of a long word whose n-grams are made at once.
 STRIDE = 4096
 _ALNUM = re.compile(r"[^\W\d_]+")
@@ -140,7 +140,7 @@ class Identifier:
                 entries = np.array(entries.cast(pa.string()).to_pylist(), f"U{k}")
                 order = entries.argsort()
                 self.grams[k] = entries[order], logs[order]
-            pa.default_memory_pool().release_unused()
+            trim()
         self.reset()
 
     def reset(self) -> None:
@@ -190,7 +190,7 @@ class Identifier:
         return self.langs[best], float(1.0 / odds.sum())
 
 
-@lru_cache(maxsize=1)
+@remembered(1)
 def _loaded(langs: tuple[str, ...], path: str | None) -> Identifier:
     """The model of a worker, read once."""
     return Identifier({"langs": list(langs), "path": path})
@@ -202,10 +202,13 @@ def predict(docs: DataFrame, model: dict[str, Any]) -> DataFrame:
 
     @F.arrow_udf("lang_pred string, score double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean(_loaded)
         own = _loaded(langs, path)
         for b in batches:
             # texts become Python's one by one: a batch of them is held once
             found = [own.predict(t.as_py()) for t in b]
+            del b
+            trim()
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["lang_pred", "score"])
 
     # as it may not be evaluated twice, for a filter and for the result

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import cut, hot_keys, spread_join
+from granary.llm.common import cut, hot_keys, lean, spread_join, trim
 
 BANDS, SKETCH, PARITY, ROUNDS = 40, 512, 1024, 3
 _GAPS = np.zeros(256, bool)
@@ -141,6 +141,7 @@ def signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
     """row (a number of its own), doc_id, text_hash, and of the text's set: cls (64 bits that tell sets apart), n, band keys and odd sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         own = Sketcher(rows)
         for b in batches:
             out = []
@@ -154,6 +155,8 @@ def signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
                     out.append((None, 0, None, None, None))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield b.drop(columns="text").assign(cls=pd.array(cols[0], "Int64"), n=cols[1], bands=cols[2], sketch=cols[3], parity=cols[4])
+            del b, out, cols
+            trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, f"row bigint, doc_id {kind}, {SIGNED}")
@@ -163,6 +166,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     """cls and the full set of shingles of every row of ``docs`` (cls, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         for b in batches:
             yield pd.DataFrame({"cls": b["cls"], "shingles": [shingle_set(t, k).tobytes() for t in b["text"]]})
 
@@ -182,6 +186,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar enough. A class of many pairs has its set copied to the salts of these, not to one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         for p in batches:
             good = []
             for x, y in zip(p["sa"], p["sb"], strict=True):

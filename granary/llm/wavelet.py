@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import pieces
+from granary.llm.common import lean, pieces, remembered, trim
 from granary.sources.shared import shared_dir
 
 MAGIC = b"WVM2"
@@ -282,7 +282,7 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(maxsize=4)
+@remembered(1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -296,6 +296,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_id
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean(encoder)
         own, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         end = own.raw([end_id])
         ids, numbers, lengths, total = [], [], [], 0
@@ -318,6 +319,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_id
                     ids, numbers, lengths, total, seq = [], [], [], 0, seq + 1
         if numbers:
             yield shard()
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("bigint").cast("decimal(20,0)").alias("doc_id"), "text", F.xxhash64("text").alias("__h"))
     (rows.repartitionByRange(parts, "doc_id", "__h").sortWithinPartitions("doc_id", "__h").drop("__h").mapInPandas(build, SHARDS).write.parquet(out))
@@ -327,6 +329,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_id
 def read_documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the shards."""
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean(encoder)
         for b in batches:
             for r in b.itertuples():
                 matrix, lengths = unpack(r.payload)

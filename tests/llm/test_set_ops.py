@@ -436,3 +436,19 @@ def test_split_buckets_agree_on_ties(spark):
     for labels in ([1, 2, 3], [3, 2, 1], [2, 3, 1], [1, 1, 3, 2, 3]):
         held = spark.createDataFrame([(7, x) for x in labels] + [(8, 1), (8, 1)], "key bigint, label bigint").coalesce(1)
         assert [tuple(r) for r in neardup._split(held).collect()] == [(7, 3, 3)]
+
+
+def test_a_stage_leaves_nothing_in_workers_for_the_next():
+    from granary.llm import langid
+
+    class Rows:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            list(run(iter([])))
+
+    langid._loaded((), None)
+    wavelet.encoder(queries.tokenizer_file("word_bpe_49k.json"))
+    neardup.sets_of(Rows(), 5)
+    assert langid._loaded.cache_info().currsize == 0 and wavelet.encoder.cache_info().currsize == 0
