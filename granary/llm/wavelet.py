@@ -28,6 +28,8 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ MAGIC = b"WVM2"
 BLOCK = 1 << 16
 #: A shard closes with the document that brings it to so many ids.
 SHARD_IDS = 1 << 20
-CACHE = 800_000
+CACHE = 400_000
 
 
 class WaveletMatrix:
@@ -179,6 +181,10 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, np.ndarray]:
 
 _STOPS = ".,"
 _FIRST = itemgetter(0)
+#: In this pattern a run of letters is one match, as no other branch begins with a letter.
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The signs of a byte-level vocabulary for bytes that have none of their own.
+_SIGNS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: White space for Python, not for the tokenizers library.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -196,6 +202,18 @@ def _nones(found: list) -> list[int]:
     return [] if None not in found else [i for i, x in enumerate(found) if x is None]
 
 
+def _letters_only(spec: dict) -> bool:
+    """Whether a file takes a run of small Latin letters as one pre-token of its bytes, which byte-pair merges alone turn into ids."""
+
+    def steps(x: dict | None, inner: str) -> list[dict]:
+        return [] if x is None else [s for y in x[inner] for s in steps(y, inner)] if x["type"] == "Sequence" else [x]
+
+    changes = [s for s in steps(spec["normalizer"], "normalizers") if s["type"] not in ("NFC", "Lowercase") and not (s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"})]
+    cuts = steps(spec["pre_tokenizer"], "pretokenizers")
+    split = [s["type"] for s in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PATTERN} and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed"
+    return not changes and split and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
+
+
 class Encoder:
     """Ids by the tokenizers library; parts between white space are encoded once and remembered."""
 
@@ -212,6 +230,8 @@ class Encoder:
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
         self.lowers = '"Lowercase"' in steps
+        #: Runs of small Latin letters are what they are after every step, and need the file's merges only.
+        self.merges = self.library.model.tokenize if self.apart and _letters_only(spec) else None
         self.stops = {c: self.raw(self.library.encode(c, add_special_tokens=False).ids) for c in _STOPS}
         #: Parts and their ids, in two generations: the older goes when the younger is half of ``CACHE``.
         self.known: dict[str, bytes] = {}
@@ -237,13 +257,21 @@ class Encoder:
                 out |= dict.fromkeys(some, b"")
         return out
 
-    def parts(self, text: str) -> list[str]:
-        """The text in parts that may be encoded apart. Latin-1 letters are lowered, as the file does so in any case; a
-        special string must not arise from that."""
-        if text.isascii() or _latin(text):
-            if not any(c in text for c in _NO_SPACE):
-                return (text if not self.lowers or "<|" in text else text.lower()).split()
-        return self._GAP.split(text)
+    def merge(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of runs of small Latin letters, by the merges of the library's model."""
+        ids, ends = [], [0]
+        for w in words:
+            ids += [t.id for t in self.merges(w if w.isascii() else w.encode().decode("latin-1").translate(_SIGNS))]
+            ends.append(len(ids))
+        raw, size = self.raw(ids), self.kind().itemsize
+        return {w: raw[a * size : b * size] for w, a, b in zip(words, ends, ends[1:], strict=False)}
+
+    def lowered(self, text: str) -> str | None:
+        """A Latin-1 text that may be cut at all white space, with its letters lowered, as the file does so in any case; a
+        special string must not arise from that. None for other texts."""
+        if (text.isascii() or _latin(text)) and not any(c in text for c in _NO_SPACE):
+            return text if not self.lowers or "<|" in text else text.lower()
+        return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.apart:
@@ -258,28 +286,52 @@ class Encoder:
                 gc.enable()
 
     def _by_parts(self, texts: list[str]) -> list[bytes]:
-        parts = [self.parts(t) for t in texts]
+        plain = [self.lowered(t) for t in texts]
+        cut = iter(self._latin_texts([t for t in plain if t is not None]))
+        others = [None if low is not None else self._GAP.split(t) for t, low in zip(texts, plain, strict=True)]
+        parts = list({p: None for ps in others if ps for p in ps})
+        ids = dict(zip(parts, self.ids_of(parts), strict=True))
+        return [next(cut) if ps is None else b"".join(map(ids.__getitem__, ps)) for ps in others]
+
+    def _latin_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts cut at white space: their parts are numbered, only the different ones become Python's, and the ids of each are laid in the places of its number."""
+        found = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = found.flatten().dictionary_encode()
+        raw = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = self.kind().itemsize
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // size
+        number = coded.indices.to_numpy()
+        many = sizes[number]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        places = np.repeat((np.cumsum(sizes) - sizes)[number] - ends[:-1], many)
+        places += np.arange(len(places))
+        whole = np.frombuffer(b"".join(raw), self.kind)[places].tobytes()
+        edges = (ends[found.offsets.to_numpy()] * size).tolist()
+        return [whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of different parts."""
         # one look at the memory for each part; the gaps are filled when their parts are known
-        met = [list(map(self.known.get, ps)) for ps in parts]
-        gaps = [_nones(ids) for ids in met]
-        new = {ps[i] for ps, at in zip(parts, gaps, strict=True) for i in at}
+        ids = list(map(self.known.get, parts))
+        gaps = _nones(ids)
+        new = [parts[i] for i in gaps]
         # parts met in the last generation of the memory move over; a word with a stop or comma is known by the word
         now = {p: self.old[p] for p in new if p in self.old} if self.old else {}
         bare = {p: p[:-1] for p in new if p not in now and p[-1:] in _STOPS and p[:-1].isalpha()}
         need = {p for p in new if p not in now and p not in bare} | {w for w in bare.values() if w not in self.known and w not in self.old}
-        joint = [p for p in need if p and (p.isascii() or _latin(p))]
-        now |= self.learn(joint)
+        joint = {p for p in need if p and (p.isascii() or _latin(p))}
+        letters = [p for p in joint if p.isalpha() and p.islower()] if self.merges else []
+        now |= self.merge(letters)
+        now |= self.learn(list(joint.difference(letters)))
         now |= {p: self.raw(self.library.encode(p, add_special_tokens=False).ids) if p else b"" for p in need.difference(joint)}
         for p, w in bare.items():
             now[p] = (now.get(w) or self.known.get(w) or self.old[w]) + self.stops[p[-1]]
         self.known |= now
-        for ps, ids, at in zip(parts, met, gaps, strict=True):
-            for i in at:
-                ids[i] = now[ps[i]]
-        out = list(map(b"".join, met))
+        for i, p in zip(gaps, new, strict=True):
+            ids[i] = now[p]
         if len(self.known) > CACHE // 2:
             self.old, self.known = self.known, {}
-        return out
+        return ids
 
 
 @remembered(1)

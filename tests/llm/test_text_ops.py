@@ -143,6 +143,28 @@ def test_parts_are_looked_up_once():
     assert own.encode(texts) == want and own.encode(texts[::-1]) == want[::-1] and type(own.known) is Memory and gc.isenabled()
 
 
+def test_words_of_letters_need_merges_only():
+    import public_tokenizers
+
+    own = wavelet.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(4)
+    letters = "".join(c for c in map(chr, range(256)) if c.isalpha() and c.islower())
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 14))) for _ in range(3000)] + list(letters) + ["a" * 3000]
+    odd = ["it's", "ABC", "É", "<|endoftext|>", "<|ENDOFTEXT|>", "a\xa0b", "a\x85b", "a\x0bb\x0cc", "a\x1cb", "x1", "ﬁ", "e\u0301", "яж", "İ", "a\xadb", "s't", " ", "", "Σ,", "naïve.", "ª"]
+    texts = [" ".join(r.choice(words if r.random() < 0.9 else odd) for _ in range(r.randint(0, 40))) for _ in range(400)] + odd + words
+    want = [own.raw(own.library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert own.encode(texts) == want and own.encode(texts[::-1]) == want[::-1]
+    asked, library = [], own.library
+
+    class Asked:
+        def encode(self, text, **more):
+            asked.append(text)
+            return library.encode(text, **more)
+
+    own.library, own.known, own.old = Asked(), {}, {}
+    assert own.encode(words) == want[-len(words) :] and asked == []
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
