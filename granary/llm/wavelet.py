@@ -18,9 +18,12 @@ from __future__ import annotations
 
 import functools
 import gc
+import itertools
 import json
+import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -60,9 +63,10 @@ class WaveletMatrix:
             ones = bit.astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
             ranks.append(np.concatenate(([0], np.cumsum([np.count_nonzero(ones[a : a + BLOCK]) for a in range(0, n, BLOCK)], dtype=np.int64))))
-            low = now[~ones]
+            # compress goes by places: several times faster than a mask on bits without order
+            low = now.compress(~ones)
             zeros.append(len(low))
-            now = np.concatenate((low, now[ones]))
+            now = np.concatenate((low, now.compress(ones)))
         return cls(lambda level, c: planes[level][c * BLOCK // 8 : (c + 1) * BLOCK // 8], ranks, zeros, n)
 
     @property
@@ -80,8 +84,8 @@ class WaveletMatrix:
         for level in range(self.width - 1, -1, -1):
             ones, z = self.bits(level), self.zeros[level]
             out = np.empty(self.n, kind)
-            out[~ones] = now[:z]
-            out[ones] = now[z:] | kind(1 << (self.width - 1 - level))
+            out[np.flatnonzero(~ones)] = now[:z]
+            out[np.flatnonzero(ones)] = now[z:] | kind(1 << (self.width - 1 - level))
             now = out
         return now
 
@@ -179,14 +183,19 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, np.ndarray]:
     return WaveletMatrix(block, list(ranks), list(zeros), n), np.frombuffer(frame(0), "<u8").astype(np.int64)
 
 
-_STOPS = ".,"
 _FIRST = itemgetter(0)
-#: In this pattern a run of letters is one match, as no other branch begins with a letter.
+#: In this pattern a run of letters, a digit and a run of other signs are one match each, as far as there is no apostrophe.
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: The signs of a byte-level vocabulary for bytes that have none of their own.
 _SIGNS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+#: The same for all bytes; the space stays, as it parts words.
+_SIGN_OF = np.array([b if b == 32 else _SIGNS.get(b, b) for b in range(256)], "<u4")
 #: White space for Python, not for the tokenizers library.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
+#: Latin-1 signs that are what they are after every step of such a file: no capitals, no apostrophe, nothing a special string begins with.
+_PLAIN = [c for c in map(chr, range(33, 256)) if c not in "'<" and c == c.lower() and unicodedata.category(c)[0] not in "CZ"]
+_LETTERS, _DIGITS = ("".join(re.escape(c) for c in _PLAIN if unicodedata.category(c)[0] == kind) for kind in "LN")
+_WORD, _MIXED, _RUNS = f"^[{_LETTERS}]+$", f"^[{''.join(map(re.escape, _PLAIN))}]+$", f"[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+"
 
 
 def _latin(text: str) -> bool:
@@ -197,13 +206,28 @@ def _latin(text: str) -> bool:
     return True
 
 
-def _nones(found: list) -> list[int]:
-    """The places of None, of which there are few."""
-    return [] if None not in found else [i for i, x in enumerate(found) if x is None]
+def _strings(offsets: np.ndarray, data: pa.Buffer | bytes | None) -> pa.LargeBinaryArray:
+    """Byte strings of which each ends where the next begins."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data or b"")])
 
 
-def _letters_only(spec: dict) -> bool:
-    """Whether a file takes a run of small Latin letters as one pre-token of its bytes, which byte-pair merges alone turn into ids."""
+def _offsets(strings: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+
+
+def _ends(sizes: np.ndarray | list[int]) -> np.ndarray:
+    return np.cumsum([0, *sizes], dtype=np.int64) if isinstance(sizes, list) else np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def _groups(parts: list[str]) -> Iterator[list[str]]:
+    """Parts in runs of about 2^15 characters, each of which goes through the library as one text."""
+    number = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) >> 15
+    edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(parts)] if parts else []
+    return (parts[a:b] for a, b in itertools.pairwise(edges))
+
+
+def _merges_only(spec: dict) -> bool:
+    """Whether a file cuts plain Latin parts into runs of letters, digits and runs of signs, whose bytes byte-pair merges alone turn into ids, the last of each marked as an end."""
 
     def steps(x: dict | None, inner: str) -> list[dict]:
         return [] if x is None else [s for y in x[inner] for s in steps(y, inner)] if x["type"] == "Sequence" else [x]
@@ -211,16 +235,19 @@ def _letters_only(spec: dict) -> bool:
     changes = [s for s in steps(spec["normalizer"], "normalizers") if s["type"] not in ("NFC", "Lowercase") and not (s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"})]
     cuts = steps(spec["pre_tokenizer"], "pretokenizers")
     split = [s["type"] for s in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PATTERN} and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed"
-    return not changes and split and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
+    if changes or not split or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"] or spec["model"]["type"] != "BPE" or spec["model"]["dropout"]:
+        return False
+    end, signs = spec["model"]["end_of_word_suffix"], [chr(_SIGNS.get(b, b)) for b in range(256)]
+    return bool(end) and not spec["model"]["continuing_subword_prefix"] and all(c in spec["model"]["vocab"] and c + end in spec["model"]["vocab"] for c in signs)
 
 
 class Encoder:
-    """Ids by the tokenizers library; parts between white space are encoded once and remembered."""
+    """Ids by the tokenizers library; parts between white space are cut into pre-tokens, which are encoded once and remembered."""
 
     _GAP = re.compile(r"[ \t\n\r]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         spec = json.loads(self.library.to_str())
@@ -230,41 +257,40 @@ class Encoder:
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
         self.lowers = '"Lowercase"' in steps
-        #: Runs of small Latin letters are what they are after every step, and need the file's merges only.
-        self.merges = self.library.model.tokenize if self.apart and _letters_only(spec) else None
-        self.stops = {c: self.raw(self.library.encode(c, add_special_tokens=False).ids) for c in _STOPS}
-        #: Parts and their ids, in two generations: the older goes when the younger is half of ``CACHE``.
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        #: The library with the file's merges only, for pre-tokens that are what they are after every step; no ids but the last of each are ``closing``.
+        self.merges = None
+        if self.apart and _merges_only(spec):
+            self.merges = Tokenizer(self.library.model)
+            self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.closing = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.closing[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        #: Numbers of what was encoded, and the ids by number, in two generations: the older goes when the younger is half of ``CACHE``.
+        self.known: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.table = self.old_table = pa.array([], pa.large_binary())
 
     def raw(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def learn(self, parts: list[str]) -> dict[str, bytes]:
+    def learn(self, parts: list[str]) -> list[bytes]:
         """Ids of parts not met before: many go through the library as one text, told apart by their places in it."""
-        out = {}
-        for at in range(0, len(parts), 2000):
-            some = parts[at : at + 2000]
+        out = []
+        for some in _groups(parts):
             whole = self.library.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(p) + 1 for p in some)])
-            ids = np.array(whole.ids, self.kind)
-            if len(ids):
-                begins = np.fromiter(map(_FIRST, whole.offsets), np.int64, len(ids))
-                edges = (np.searchsorted(begins, starts, "left") * ids.itemsize).tolist()
-                raw = ids.tobytes()
-                out |= {p: raw[a:b] for p, a, b in zip(some, edges, edges[1:], strict=False)}
-            else:
-                out |= dict.fromkeys(some, b"")
+            begins = np.fromiter(map(_FIRST, whole.offsets), np.int64)
+            edges = (np.searchsorted(begins, _ends([len(p) + 1 for p in some]), "left") * self.kind().itemsize).tolist()
+            raw = self.raw(whole.ids)
+            out += [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         return out
 
-    def merge(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of runs of small Latin letters, by the merges of the library's model."""
-        ids, ends = [], [0]
-        for w in words:
-            ids += [t.id for t in self.merges(w if w.isascii() else w.encode().decode("latin-1").translate(_SIGNS))]
-            ends.append(len(ids))
-        raw, size = self.raw(ids), self.kind().itemsize
-        return {w: raw[a * size : b * size] for w, a, b in zip(words, ends, ends[1:], strict=False)}
+    def merge(self, words: list[str]) -> pa.LargeBinaryArray:
+        """Ids of pre-tokens of ``_PLAIN`` signs, by the merges of the library's model."""
+        found = []
+        for some in _groups(words):
+            signs = _SIGN_OF[np.frombuffer(" ".join(some).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            found.append(np.array(self.merges.encode_batch_fast([signs], add_special_tokens=False)[0].ids, self.kind))
+        ids = np.concatenate(found) if found else np.zeros(0, self.kind)
+        return _strings(np.concatenate(([0], np.flatnonzero(self.closing[ids]) + 1)) * ids.itemsize, ids.tobytes())
 
     def lowered(self, text: str) -> str | None:
         """A Latin-1 text that may be cut at all white space, with its letters lowered, as the file does so in any case; a
@@ -287,51 +313,59 @@ class Encoder:
 
     def _by_parts(self, texts: list[str]) -> list[bytes]:
         plain = [self.lowered(t) for t in texts]
-        cut = iter(self._latin_texts([t for t in plain if t is not None]))
-        others = [None if low is not None else self._GAP.split(t) for t, low in zip(texts, plain, strict=True)]
-        parts = list({p: None for ps in others if ps for p in ps})
-        ids = dict(zip(parts, self.ids_of(parts), strict=True))
-        return [next(cut) if ps is None else b"".join(map(ids.__getitem__, ps)) for ps in others]
-
-    def _latin_texts(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts cut at white space: their parts are numbered, only the different ones become Python's, and the ids of each are laid in the places of its number."""
-        found = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        coded = found.flatten().dictionary_encode()
-        raw = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        size = self.kind().itemsize
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // size
-        number = coded.indices.to_numpy()
-        many = sizes[number]
-        ends = np.concatenate(([0], np.cumsum(many)))
-        places = np.repeat((np.cumsum(sizes) - sizes)[number] - ends[:-1], many)
-        places += np.arange(len(places))
-        whole = np.frombuffer(b"".join(raw), self.kind)[places].tobytes()
-        edges = (ends[found.offsets.to_numpy()] * size).tolist()
-        return [whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-
-    def ids_of(self, parts: list[str]) -> list[bytes]:
+        found = pc.ascii_split_whitespace(pa.array([t for t in plain if t is not None], pa.large_string()))
+        cut = iter(self._of_lists(found.flatten(), found.offsets.to_numpy()))
+        lists = [self._GAP.split(t) for t, low in zip(texts, plain, strict=True) if low is None]
+        others = iter(self._of_lists(pa.array([p for ps in lists for p in ps], pa.large_string()), _ends(np.array([len(ps) for ps in lists], np.int64))))
+        return [next(others if low is None else cut) for low in plain]
+
+    def _of_lists(self, parts: pa.Array, edges: np.ndarray) -> list[bytes]:
+        """Ids of lists of parts: they are numbered, only the different ones are looked up, and the ids of each are laid in the places of its number."""
+        coded = parts.dictionary_encode()
+        whole = self.ids_of(coded.dictionary).take(coded.indices)
+        cuts, data = _offsets(whole)[edges].tolist(), memoryview(whole.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def ids_of(self, parts: pa.Array) -> pa.LargeBinaryArray:
         """Ids of different parts."""
-        # one look at the memory for each part; the gaps are filled when their parts are known
-        ids = list(map(self.known.get, parts))
-        gaps = _nones(ids)
-        new = [parts[i] for i in gaps]
-        # parts met in the last generation of the memory move over; a word with a stop or comma is known by the word
-        now = {p: self.old[p] for p in new if p in self.old} if self.old else {}
-        bare = {p: p[:-1] for p in new if p not in now and p[-1:] in _STOPS and p[:-1].isalpha()}
-        need = {p for p in new if p not in now and p not in bare} | {w for w in bare.values() if w not in self.known and w not in self.old}
-        joint = {p for p in need if p and (p.isascii() or _latin(p))}
-        letters = [p for p in joint if p.isalpha() and p.islower()] if self.merges else []
-        now |= self.merge(letters)
-        now |= self.learn(list(joint.difference(letters)))
-        now |= {p: self.raw(self.library.encode(p, add_special_tokens=False).ids) if p else b"" for p in need.difference(joint)}
-        for p, w in bare.items():
-            now[p] = (now.get(w) or self.known.get(w) or self.old[w]) + self.stops[p[-1]]
-        self.known |= now
-        for i, p in zip(gaps, new, strict=True):
-            ids[i] = now[p]
+        if self.merges is None:
+            return self.recall(parts, 0)
+        word = pc.match_substring_regex(parts, _WORD).to_numpy(zero_copy_only=False)
+        more = np.flatnonzero(~word)
+        good = pc.match_substring_regex(parts.take(pa.array(more)), _MIXED).to_numpy(zero_copy_only=False)
+        words, mixed, odd = np.flatnonzero(word), more[good], more[~good]
+        # a word is known by itself, whatever stands beside it: plain parts are cut into their pre-tokens
+        runs = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(pc.replace_substring_regex(parts.take(pa.array(mixed)), f"({_RUNS})", "\\1 ")))
+        plain = pa.concat_arrays([parts.take(pa.array(words)), runs.flatten()]).dictionary_encode()
+        different = len(plain.dictionary)
+        ids = self.recall(pa.concat_arrays([plain.dictionary, parts.take(pa.array(odd))]), different)
+        pieces = ids.take(pa.array(np.concatenate((plain.indices.to_numpy(), np.arange(different, len(ids))))))
+        ends = _offsets(pieces)[_ends(np.concatenate((np.ones(len(words), np.int64), np.diff(runs.offsets.to_numpy()), np.ones(len(odd), np.int64))))]
+        place = np.empty(len(parts), np.int64)
+        place[np.concatenate((words, mixed, odd))] = np.arange(len(parts))
+        return _strings(ends, pieces.buffers()[2]).take(pa.array(place))
+
+    def recall(self, parts: pa.Array, plain: int) -> pa.LargeBinaryArray:
+        """Ids of different pre-tokens, of which the first ``plain`` need merges only, and parts."""
+        keys = parts.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(number < 0)
+        # what was met in the last generation moves over
+        before = np.fromiter(map(self.old.get, [keys[i] for i in new.tolist()], itertools.repeat(-1)), np.int64, len(new)) if self.old else np.full(len(new), -1)
+        moved, new = new[before >= 0], new[before < 0]
+        merged, others = new[new < plain], new[new >= plain].tolist()
+        joint = [i for i in others if keys[i] and (keys[i].isascii() or _latin(keys[i]))]
+        single = sorted(set(others).difference(joint))
+        raw = self.learn([keys[i] for i in joint]) + [self.raw(self.library.encode(keys[i], add_special_tokens=False).ids) if keys[i] else b"" for i in single]
+        more = [self.old_table.take(pa.array(before[before >= 0])), self.merge([keys[i] for i in merged.tolist()]), pa.array(raw, pa.large_binary())]
+        at = [*moved.tolist(), *merged.tolist(), *joint, *single]
+        number[at] = np.arange(len(self.table), len(self.table) + len(at))
+        self.known.update(zip([keys[i] for i in at], number[at].tolist(), strict=True))
+        self.table = pa.concat_arrays([self.table, *more])
+        out = self.table.take(pa.array(number))
         if len(self.known) > CACHE // 2:
-            self.old, self.known = self.known, {}
-        return ids
+            self.old, self.old_table, self.known, self.table = self.known, self.table, {}, self.table[:0]
+        return out
 
 
 @remembered(1)
@@ -349,6 +383,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_id
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean(encoder)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         own, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         end = own.raw([end_id])
         ids, numbers, lengths, total = [], [], [], 0
@@ -359,7 +394,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shard_id
             data = pack(np.frombuffer(b"".join(ids), own.kind), np.array(lengths))
             return pd.DataFrame([[part, seq, len(numbers), total, keys.tobytes(), np.packbits(null).tobytes(), data]], columns=[x.split()[0] for x in SHARDS.split(", ")])
 
-        for b in pieces(batches, 1024):
+        for b in pieces(batches, 2048):
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             for number, raw in zip(b["doc_id"], own.encode(texts), strict=True):
                 ids += (raw, end)

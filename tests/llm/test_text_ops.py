@@ -165,6 +165,36 @@ def test_words_of_letters_need_merges_only():
     assert own.encode(words) == want[-len(words) :] and asked == []
 
 
+def test_words_are_known_whatever_stands_beside_them():
+    import public_tokenizers
+
+    own = wavelet.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    r, library = random.Random(7), own.library
+    signs = [chr(c) for c in range(256)] + list("''<|><|endoftext|>é") + ["’", "я", "İ", "\u0301", "\u3000", "ﬁ", "𝔸"]
+    odd = ["".join(r.choice(signs) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    texts = odd + [" ".join(r.sample(odd, 20)) for _ in range(200)] + ["it's IT'S 's 'll''ve x'S", "<|endoftext|>a <|ENDOFTEXT|>", "½²³a1b2²", "ªºµ×÷ß"]
+    want = [own.raw(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want and own.encode(texts[::-1]) == want[::-1]
+    # plain parts share the ids of their words, and need neither normaliser nor patterns
+    texts = ["wordé (wordé) wordé%%% wordé.!! wordé-7wordé; WORDÉ,, 14.49.253.103", "[wordé]"]
+    want, asked, merge = [own.raw(library.encode(t, add_special_tokens=False).ids) for t in texts], [], own.merge
+    own.library, own.known, own.old, own.merge = None, {}, {}, lambda words: asked.extend(words) or merge(words)
+    assert own.encode(texts) == want and asked.count("wordé") == 1 and len(asked) == len(set(asked))
+
+
+def test_memory_of_words_goes_by_generations(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(wavelet, "CACHE", 40)
+    own = wavelet.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(8)
+    words = ["".join(r.choice("abcé.5'я") for _ in range(r.randint(1, 4))) for _ in range(200)]
+    for _ in range(60):
+        texts = [" ".join(r.choices(words, k=12)) for _ in range(r.randint(0, 3))]
+        assert own.encode(texts) == [own.raw(own.library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert len(own.known) <= 20 and len(own.table) == len(own.known)
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
